@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspan.llm.staging import staged
-from kinspan.llm.tokens import BYTE_LEVEL, UnitEncoder, text_runs
+from kinspan.llm.tokens import BYTE_LEVEL, encoder, text_runs
 
 PIECES = "batch_no long, rank_in_batch long, doc_id long, text_chars long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,14 +49,14 @@ def make_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, kin
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = UnitEncoder(tokenizer, kind)
+        codes = encoder(tokenizer, kind)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             seen = np.zeros(capacity + 1, np.int64)
             rows: list[tuple] = []
             for a, b in text_runs(values):
-                ids, at = encoder.encode([v or "" for v in values[a:b]])
+                ids, at = codes.encode([v or "" for v in values[a:b]])
                 for i in range(b - a):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
                     start = 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspan.llm.staging import new_path
-from kinspan.llm.tokens import WORD_LEVEL, UnitEncoder, text_runs
+from kinspan.llm.tokens import WORD_LEVEL, encoder, text_runs
 
 BLOCK_IDS = 65_536
 STORE_SCHEMA = "shard int, block int, shard_start long, n_ids long, bits int, doc_ids array<long>, doc_ends array<long>, payload binary"
@@ -74,7 +74,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = UnitEncoder(tokenizer, kind)
+        codes = encoder(tokenizer, kind)
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("payload", pa.binary())])
         held_ids: list = []
@@ -90,7 +90,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             values = texts.to_pylist()
             for a, b in text_runs(values):
-                ids, at = encoder.encode([v or "" for v in values[a:b]])
+                ids, at = codes.encode([v or "" for v in values[a:b]])
                 for i in range(b - a):
                     held_ids.append(keys[a + i])
                     held.append(np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)))

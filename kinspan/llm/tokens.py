@@ -4,86 +4,133 @@ Both supported tokenizers split a text into pieces before they merge bytes, and
 no piece spans certain points: for the byte-level one a single space between two
 non-space characters starts a new piece, for the word-level one any space or
 line feed ends a piece. Texts are cut at those points only, so the ids of the
-units joined are the ids of the text. Special token strings inside a text are
-ordinary text.
+units joined are the ids of the text. Units not met before are encoded many at
+a time, joined so that their borders show in the ids. Special token strings
+inside a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
-import pandas as pd
 
 from kinspan.llm.textcore import ragged
 
 BYTE_LEVEL = "byte"
 WORD_LEVEL = "word"
-_BYTE_CUT = re.compile(r"(?<=\S)(?= \S)")
-CACHE_UNITS = 300_000
+CACHE_UNITS = 800_000
+_ODD_SPACE = re.compile(r"\s | \s|^ | $")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_MARK = "\x01"
+_kept: dict[tuple[str, str], UnitEncoder] = {}
+
+
+def encoder(path: str, kind: str) -> UnitEncoder:
+    """The encoder of this process: a worker that takes a further task goes on with what it has learnt."""
+    if (path, kind) not in _kept:
+        _kept.clear()
+        _kept[path, kind] = UnitEncoder(path, kind)
+    return _kept[path, kind]
 
 
 class UnitEncoder:
     """Encodes lists of texts; keeps at most about ``CACHE_UNITS`` units between calls."""
 
     def __init__(self, path: str, kind: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = kind
+        spaced = self.tokenizer.encode(" ", add_special_tokens=False).ids
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if kind == BYTE_LEVEL:
+            space = self.tokenizer.id_to_token(spaced[0])
+            for token, i in self.tokenizer.get_vocab().items():
+                self.opens[i] = token.startswith(space)
+        else:
+            self.opens[self.tokenizer.encode(_MARK, add_special_tokens=False).ids] = True
         self._forget()
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
+        self.start = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
-        self.start: list[int] = []
-        self.length: list[int] = []
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        first = len(self.slots)
+        while first + len(units) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[first : first + len(units)] = self.used + np.cumsum(sizes) - sizes
+        self.length[first : first + len(units)] = sizes
+        self.slots.update(zip(units, range(first, first + len(units))))
+        self.used += len(ids)
+
+    def _learn(self, units: list[str]) -> None:
+        """A unit that ends in a space is the first of its text, without a space before it."""
+        byte = self.kind == BYTE_LEVEL
+        plain = [u for u in units if u and (" " if byte else _MARK) not in u]
+        for a in range(0, len(plain), 1000):
+            part = plain[a : a + 1000]
+            joined = " " + " ".join(part) if byte else "".join(f"{_MARK} {u} " for u in part)
+            ids = self._whole([joined])[0]
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(part):
+                raise AssertionError("a unit is not told apart in the ids")
+            sizes = np.diff(np.append(at, len(ids)))
+            if not byte:
+                ids, sizes = np.delete(ids, at), sizes - 1
+            self._keep(part, ids, sizes)
+        rest = [u for u in units if u not in self.slots]
+        for a in range(0, len(rest), 1000):
+            part = rest[a : a + 1000]
+            got = self._whole([u if not byte else u[:-1] if u.endswith(" ") else " " + u for u in part])
+            self._keep(part, np.concatenate(got), np.array([len(x) for x in got], np.int64))
 
     def _units(self, text: str) -> list[str]:
         if self.kind == WORD_LEVEL:
             return text.replace("\n", " ").split(" ")
-        return _BYTE_CUT.split(text)
-
-    def _learn(self, units: list[str]) -> None:
-        for a in range(0, len(units), 20_000):
-            part = units[a : a + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = [len(x) for x in got]
-            ids = np.fromiter((i for x in got for i in x), np.uint32, sum(sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            at = self.used
-            for u, n in zip(part, sizes, strict=True):
-                self.slots[u] = len(self.start)
-                self.start.append(at)
-                self.length.append(n)
-                at += n
-            self.used = at
+        if _ODD_SPACE.search(text):
+            first, *others = _CUT.split(text)
+            if any(u.endswith(" ") for u in others):
+                return [text + " "]
+            return [first + " ", *(u[1:] for u in others)]
+        out = text.split(" ")
+        out[0] += " "
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids joined (uint32), and the offset of each text (n + 1 entries)."""
         units: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        counts = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
             if t:
                 got = self._units(t)
-                counts[i] = len(got)
+                counts[i + 1] = len(got)
                 units += got
         if not units:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        codes, distinct = pd.factorize(np.array(units, dtype=object))
         if len(self.slots) > CACHE_UNITS:
             self._forget()
-        self._learn([u for u in distinct if u not in self.slots])
-        slot = np.fromiter((self.slots[u] for u in distinct), np.int64, len(distinct))
-        start, length = np.array(self.start, np.int64)[slot], np.array(self.length, np.int64)[slot]
-        sizes = length[codes]
-        ids = self.flat[ragged(start[codes], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+        found = list(map(self.slots.get, units))
+        if None in found:
+            self._learn(list(dict.fromkeys(u for u, k in zip(units, found) if k is None)))
+            found = list(map(self.slots.get, units))
+        slot = np.array(found, np.int64)
+        sizes = self.length[slot]
+        ids = self.flat[ragged(self.start[slot], sizes)]
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
 
 
 def text_runs(values: list, limit: int = 2 << 20):

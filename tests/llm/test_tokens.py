@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from kinspan.llm import packing, token_files, tokens
 
-ODD = [None, "", " ", "a", "  two  spaces\n\n\tx's it's don't ", "é́ ΑΣ ς x y \x1c z", "0123 45 ,,, !!", "naïve " * 900, "x" * 3000, "a", "tab\tand\x0bvt \x0cff\r\ncr"]
+ODD = [None, "a  b c", "a  b c ", " lead", "x \n y", "l1\nl2 w", "\x01 z \x01", "", " ", "a", "  two  spaces\n\n\tx's it's don't ", "é́ ΑΣ ς x y \x1c z", "0123 45 ,,, !!", "naïve " * 900, "x" * 3000, "a", "tab\tand\x0bvt \x0cff\r\ncr"]
 
 
 def plain(name, texts, end):
@@ -18,7 +18,7 @@ def plain(name, texts, end):
 
 def test_units_give_the_ids_of_the_text():
     for name, kind in (("byte_bpe_50k.json", tokens.BYTE_LEVEL), ("word_bpe_49k.json", tokens.WORD_LEVEL)):
-        ids, at = tokens.UnitEncoder(public_tokenizers.path(name), kind).encode([x or "" for x in ODD])
+        ids, at = tokens.encoder(public_tokenizers.path(name), kind).encode([x or "" for x in ODD])
         assert [ids[a:b].tolist() + [9] for a, b in zip(at[:-1], at[1:])] == plain(name, ODD, 9)
 
 
