@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from kinspan.llm.suffix_arrays import repeat_counts
 LENGTH = 200
 GRAM = 50
 CHUNK_WINDOWS = 1 << 22
+SLICES = 2  # of the window hashes, compared one after another: half the shuffle stands on disk at a time
 RUNS = "key long, text_hash long, start int, windows int, anchor long, symbol long, copies int, leads boolean"
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -150,20 +152,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = keyed(docs)
     runs = staged(find_runs(texts, length, gram), "runs")
     anchors = runs.where("leads").groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor")
-    shared = staged(runs.join(anchors, "anchor"), "shared-runs")
+    shared = staged(runs.join(anchors.hint("shuffle_hash"), "anchor"), "shared-runs")
     dropped(runs)
     symbols = shared.where("leads").groupBy("anchor", "symbol").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "text_hash", "start", "windows")).alias("one"))
     symbols = staged(symbols, "symbols")
-    whole = shared.join(symbols.where(F.col("n") > 1).select("anchor", "symbol"), ["anchor", "symbol"]).select("key", "text_hash", "start", "windows")
+    whole = shared.join(symbols.where(F.col("n") > 1).select("anchor", "symbol").hint("shuffle_hash"), ["anchor", "symbol"]).select("key", "text_hash", "start", "windows")
     mixed = symbols.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1).select("anchor")
     compared = symbols.join(mixed, "anchor").select("one.key", "one.text_hash", F.struct("one.start", "one.windows", "anchor", (F.col("n") == 1).alias("alone")).alias("run"))
     listed = compared.groupBy("key", "text_hash").agg(F.collect_list("run").alias("runs"))
     texts_once = texts.select("key", "text_hash", "text")
     windows = staged(window_rows(texts_once.join(listed, ["key", "text_hash"]), length), "windows")
-    again = windows.groupBy("window", "anchor").agg(F.count("*").alias("n"), F.max("alone").alias("any_alone")).where((F.col("n") > 1) & F.col("any_alone")).select("window", "anchor")
-    single = windows.where("alone").join(again, ["window", "anchor"]).select("key", "text_hash", F.col("position").alias("start"), F.lit(1).alias("windows"))
-    spans = staged(whole.union(single).groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "spans")
-    for done in (shared, symbols, windows):
+    parts = [whole]
+    for k in range(SLICES):
+        some = windows.where(F.pmod("window", F.lit(SLICES)) == k)
+        again = some.groupBy("window", "anchor").agg(F.count("*").alias("n"), F.max("alone").alias("any_alone")).where((F.col("n") > 1) & F.col("any_alone")).select("window", "anchor")
+        single = some.where("alone").join(again.hint("shuffle_hash"), ["window", "anchor"])
+        parts.append(staged(single.select("key", "text_hash", F.col("position").alias("start"), F.lit(1).alias("windows")), "single-windows"))
+    spans = staged(reduce(DataFrame.union, parts).groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "spans")
+    for done in (shared, symbols, windows, *parts[1:]):
         dropped(done)
     return spans
 

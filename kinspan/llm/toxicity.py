@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspan.llm import textcore
+from kinspan.llm.staging import staged
 
 MOST_EXAMPLES = 6_000
 MOST_TERMS = 512
@@ -169,14 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Scorer
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([t.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64()))], names=["doc_id", "terms", "counts"])
 
     held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(example_terms, "doc_id long, terms array<long>, counts array<long>")
-    held = held.dropDuplicates(["doc_id"]).join(ids, "doc_id")
+    held = staged(held.dropDuplicates(["doc_id"]).join(ids, "doc_id"), "examples")
     sizes = {r["is_toxic"]: r["n"] for r in held.groupBy("is_toxic").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) == 0:
         return Scorer(None, np.zeros(1), np.array([prior]), prior)
     by_term = held.select(F.explode("terms").alias("term"), "is_toxic").groupBy("term").agg(F.sum("is_toxic").alias("pos"), F.sum(1 - F.col("is_toxic")).alias("neg"))
     r_pos, r_neg = (F.col("pos") + 0.5) / (sizes[1] + 1.0), (F.col("neg") + 0.5) / (sizes[0] + 1.0)
     telling = by_term.where((F.col("pos") + F.col("neg") >= 5) & ((r_pos >= LIFT * r_neg) | (r_neg >= LIFT * r_pos)))
-    # The order is by a lower bound of the surprise that both engines of the sum share: the difference of the shares.
     telling = telling.orderBy(F.desc(F.abs(r_pos - r_neg)), "term").limit(4 * MOST_TERMS).toPandas()
     score = log_likelihood_ratio(telling["pos"].to_numpy(float), telling["neg"].to_numpy(float), sizes[1], sizes[0])
     order = np.argsort(-score, kind="stable")[:MOST_TERMS]
