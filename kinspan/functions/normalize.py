@@ -12,9 +12,11 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 DIGITS = r"(\p{Nd}+)"
+VIEWS = ("unicode", "clean", "punct", "accent_fold")
 #: Literals that a delimited-text reader takes for a missing value.
 MISSING_LITERALS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -91,9 +93,9 @@ def exact_text(value: str | None) -> tuple[str, str, str, str]:
     return composed, tidy, " ".join("".join(out).split()), folded
 
 
-@F.pandas_udf("unicode string, clean string, punct string, accent_fold string")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in VIEWS]))
 def exact_udf(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([exact_text(v) for v in values], columns=["unicode", "clean", "punct", "accent_fold"])
+    return pd.DataFrame([exact_text(v) for v in values], columns=list(VIEWS))
 
 
 def exact_views(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -101,8 +103,7 @@ def exact_views(df: DataFrame, column: str, prefix: str) -> DataFrame:
     plain = F.coalesce(~F.col(column).rlike(r"[^\x00-\x7f]"), F.lit(True))
     native = views(df.where(plain), column, prefix)
     other = df.where(~plain).withColumn("_v", exact_udf(F.col(column)))
-    names = ("unicode", "clean", "punct", "accent_fold")
-    other = other.withColumns({f"{prefix}_norm_{n}": F.col(f"_v.{n}") for n in names}).drop("_v")
+    other = other.withColumns({f"{prefix}_norm_{n}": F.col(f"_v.{n}") for n in VIEWS}).drop("_v")
     return native.select(other.columns).unionByName(other)
 
 
@@ -113,10 +114,10 @@ def match_bucket(n: Column) -> Column:
 
 def source_pattern(ids: Column) -> Column:
     """NONE, S2_ONLY, S3_ONLY or BOTH by the prefixes of an id array."""
-    s2, s3 = (F.exists(ids, lambda x, p=p: x.startswith(p)) for p in ("S2-", "S3-"))
+    s2, s3 = F.exists(ids, lambda x: x.startswith("S2-")), F.exists(ids, lambda x: x.startswith("S3-"))
     return F.when(s2 & s3, "BOTH").when(s2, "S2_ONLY").when(s3, "S3_ONLY").otherwise("NONE")
 
 
 def id_list(joined: Column) -> Column:
     """The ids of a comma list, distinct; none for an empty one."""
-    return F.array_distinct(F.filter(F.transform(F.split(or_empty(joined), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(or_empty(joined), ","), lambda x: F.trim(x)), lambda x: x != ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -74,7 +75,7 @@ def _pairwise(f):
         return pd.Series(out, dtype="float64")
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, T.DoubleType())
 
 
 indel_ratio = _pairwise(indel)

@@ -118,11 +118,14 @@ def char_terms(view: Column, shortest: int = 3, longest: int = 4) -> Column:
     """Character n-grams inside words padded with a space on both sides; a word shorter than n gives itself, once."""
     words = F.filter(F.split(normalize.whitespace(F.lower(view)), " "), lambda w: w != "")
 
+    def of_length(padded: Column, n: int) -> Column:
+        size = F.char_length(padded)
+        short = F.array(padded) if n == shortest else F.array().cast("array<string>")
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(short)
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.char_length(padded)
-        each = [F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>") if n > shortest else F.array(padded)) for n in range(shortest, longest + 1)]
-        return F.concat(*each)
+        return F.concat(*[of_length(padded, n) for n in range(shortest, longest + 1)])
 
     return F.flatten(F.transform(words, grams))
 
