@@ -42,8 +42,8 @@ from kinspan.llm.components import connected_components
 from kinspan.llm.staging import dropped, staged
 
 WORDS = 5
-HEAVY_FRACTION = 1e-4
-HEAVY_LEAST = 16
+HEAVY_LEAST = 8
+MOST_HEAVY = 2_000_000
 COUNT_EVERY = 2_000_000
 HUB_PART = 2048
 TREE = 256
@@ -79,9 +79,9 @@ def frequent_shingles(docs: DataFrame) -> Order:
     """The order, from shingles that are frequent in some task's share of the documents.
 
     Tasks report what occurs in two of their different sets; the sums that reach
-    ``HEAVY_FRACTION`` of all documents make the list, so it holds at most the
-    mean set size divided by that fraction, whatever the corpus. Any order gives
-    the same links; this one keeps frequent shingles out of the prefixes.
+    ``HEAVY_LEAST`` make the list, at most the ``MOST_HEAVY`` greatest of them,
+    whatever the corpus. Any order gives the same links; this one keeps frequent
+    shingles out of the prefixes.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +107,11 @@ def frequent_shingles(docs: DataFrame) -> Order:
         if held:
             yield report()
 
-    least = max(HEAVY_LEAST, HEAVY_FRACTION * docs.count())
-    found = docs.select("text").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    sums = docs.select("text").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST)
+    sums = staged(sums, "frequent")
+    if sums.count() > MOST_HEAVY:
+        sums = sums.orderBy(F.desc("n"), "token").limit(MOST_HEAVY)
+    found = sums.toPandas()
     return Order(found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
 
 
@@ -162,12 +165,17 @@ def tree_links(hub: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
 
 
 def tested(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
-    """The (a, b) of ``pairs`` that link. Hubs with many partners are split into parts, each with its own copy of the hub's text."""
+    """The (a, b) of ``pairs`` that link.
+
+    Hubs with many partners are split into parts, each with its own copy of the
+    hub's text. Pairs meet texts in merge joins that share one exchange of the
+    texts, at every size: what is shuffled grows in proportion.
+    """
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts"))
-    hubs = parts.join(texts, F.col("b") == F.col("id")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    hubs = parts.hint("merge").join(texts, F.col("b") == F.col("id")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
     spread = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
-    partners = spread.join(texts, F.col("a") == F.col("id")).select("b", "part", "a", "text")
+    partners = spread.hint("merge").join(texts, F.col("a") == F.col("id")).select("b", "part", "a", "text")
     rows = hubs.union(partners).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
