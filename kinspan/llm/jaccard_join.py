@@ -13,8 +13,8 @@ among the first |x| - ceil(0.8 |x|) + 1 of each.
    with; the components of those links are found. Big groups of near copies
    shrink to a few components in linear work.
 3. Only classes of different components that still share a prefix shingle are
-   left to compare; those whose shared prefix shingles and remaining lengths
-   cannot reach the bound are dropped. What this loses is nothing: a link
+   left to compare; those whose places of a shared shingle, shared prefix
+   shingles and remaining lengths cannot reach the bound are dropped. What this loses is nothing: a link
    inside a component changes no component.
 4. Tests run in a prefix tree: a hub's partners, as ordered sequences, are
    sorted, so neighbours share their beginning. The tree is walked in that
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspan.llm import textcore
@@ -227,21 +227,25 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     full = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = staged(full.groupBy("mark_a", "mark_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     one = full.join(classes.select(F.col("rep").alias("doc_id"), "mark_a", "mark_b"), ["doc_id", "mark_a", "mark_b"], "left_semi")
-    firsts = one.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    firsts = one.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     hubs = firsts.groupBy("token").agg(F.count("*").alias("holders"), F.min(F.struct("rep", "n")).alias("hub")).where(F.col("holders") > 1)
     shared = staged(firsts.join(hubs.select("token", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "token"), "prefixes")
     to_hubs = shared.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
     to_hubs = to_hubs.groupBy(F.col("rep").alias("a"), F.col("hub").alias("b"), "n", "hub_n").agg(F.count("*").alias("c")).where(reaches(F.col("c"), F.col("n"), F.col("hub_n")))
     links = staged(tested(staged(to_hubs.select("a", "b"), "hub-pairs"), docs, order), "hub-links")
     near = connected_components(links)
-    known = shared.select("token", "rep", "n").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    known = shared.select("token", "rep", "n", "pos").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("part"))
     known = staged(known, "parted")
     dropped(shared)
     open_tokens = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    left = staged(known.join(open_tokens, "token"), "open")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("pos")) - 1
+    left = staged(known.join(open_tokens, "token").withColumns({"earlier": place, "open": F.count("*").over(Window.partitionBy("rep"))}), "open")
     dropped(known)
-    x, y = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part")]) for s in "ab")
-    cross = x.join(y, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("part_a") != F.col("part_b")) & fits(F.col("n_a"), F.col("n_b")))
+    x, y = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part", "pos", "earlier", "open")]) for s in "ab")
+    # Common shingles before this one are open in both sets; this one and later ones are at most what follows in the shorter rest.
+    most = F.least("earlier_a", "earlier_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    able = fits(F.col("n_a"), F.col("n_b")) & (9 * most >= 4 * (F.col("n_a") + F.col("n_b"))) & reaches(F.least("open_a", "open_b"), F.col("n_a"), F.col("n_b"))
+    cross = x.join(y, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("part_a") != F.col("part_b")) & able)
     cross = cross.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count("*").alias("c")).where(reaches(F.col("c"), F.col("n_a"), F.col("n_b")))
     more = staged(tested(staged(cross.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")), "cross-pairs"), docs, order), "cross-links")
     dropped(left)
