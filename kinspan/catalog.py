@@ -18,6 +18,8 @@ from kinspan.sources import tables
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The normalized records by application and folder: made once, like the table that ingestion leaves, and spilled where memory is short.
+_NORMALIZED: dict[tuple[str, str], DataFrame] = {}
 
 
 class Data:
@@ -35,7 +37,10 @@ class Data:
 
     @property
     def records(self) -> DataFrame:
-        return tables.normalized(self.entities)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _NORMALIZED:
+            _NORMALIZED[key] = tables.normalized(self.entities).persist()
+        return _NORMALIZED[key]
 
     @property
     def s1(self) -> DataFrame:
@@ -587,9 +592,9 @@ def sql_set(x: str) -> str:
 
 
 def sql_text_features(p: str, view: str) -> str:
-    return f"""SELECT entity_id_s1, entity_id_cand, (ok AND a = b)::TINYINT AS {p}_exact_clean, round(CASE WHEN ok THEN CASE WHEN len(u) > 0 THEN len(i) / len(u) END END, 6) AS {p}_token_jaccard,
+    return f"""SELECT entity_id_s1, entity_id_cand, (ok AND a = b)::TINYINT AS {p}_exact_clean, CASE WHEN ok THEN CASE WHEN len(u) > 0 THEN len(i) / len(u) END END AS {p}_token_jaccard,
   (CASE WHEN ok THEN len(i) ELSE 0 END)::SMALLINT AS {p}_shared_token_count, (CASE WHEN ok THEN len(x) ELSE 0 END)::SMALLINT AS {p}_s1_token_count, (CASE WHEN ok THEN len(y) ELSE 0 END)::SMALLINT AS {p}_cand_token_count,
-  round(CASE WHEN ok THEN least(length(a), length(b)) / greatest(length(a), length(b)) END, 6) AS {p}_length_ratio, (CASE WHEN ok THEN abs(length(a) - length(b)) END)::DOUBLE AS {p}_char_length_diff
+  CASE WHEN ok THEN least(length(a), length(b)) / greatest(length(a), length(b)) END AS {p}_length_ratio, (CASE WHEN ok THEN abs(length(a) - length(b)) END)::DOUBLE AS {p}_char_length_diff
   FROM (SELECT *, a <> '' AND b <> '' AS ok, list_intersect(x, y) AS i, list_distinct(list_concat(x, y)) AS u FROM (SELECT l.entity_id_s1, l.entity_id_cand, s.{view} AS a, t.{view} AS b, {sql_set("s." + view)} AS x, {sql_set("t." + view)} AS y
   FROM labelled l JOIN norm s ON s.entity_id = l.entity_id_s1 JOIN norm t ON t.entity_id = l.entity_id_cand))"""
 

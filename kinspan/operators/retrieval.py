@@ -63,10 +63,19 @@ def unique_name_pairs(records: DataFrame, use_country: bool = True) -> DataFrame
 
 
 def exact_flags(records: DataFrame, use_country: bool = True) -> DataFrame:
-    """One row per pair with the four exact flags and their sum."""
-    parts = [rule_pairs(records, r, use_country).withColumn("rule", F.lit(r)) for r in RULES]
-    parts.append(unique_name_pairs(records, use_country).withColumn("rule", F.lit(UNIQUE)))
-    found = reduce(DataFrame.unionByName, parts).groupBy(*PAIR).agg(*[F.max((F.col("rule") == f).cast("int")).alias(f) for f in FLAGS])
+    """One row per pair with the four exact flags and their sum.
+
+    The three rules are one join: each record gives a row per rule.
+    """
+    keys = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(a).alias("name"), F.col(b).alias("address")) for r, (a, b) in RULES.items()]))
+    rows = records.select("source", "country", "entity_id", keys.alias("k")).select("source", "country", "entity_id", "k.*").where((F.col("name") != "") & (F.col("address") != ""))
+    s1 = queries_of(rows).select(F.col("entity_id").alias("entity_id_s1"), "rule", "name", "address", "country")
+    targets = targets_of(rows).select(F.col("entity_id").alias("entity_id_cand"), F.col("source").alias("candidate_source"), "rule", "name", "address", "country")
+    if not use_country:
+        s1, targets = s1.drop("country"), targets.drop("country")
+    pairs = s1.join(targets, [c for c in s1.columns if c != "entity_id_s1"]).select(*PAIR, "rule")
+    together = pairs.unionByName(unique_name_pairs(records, use_country).withColumn("rule", F.lit(UNIQUE)))
+    found = together.groupBy(*PAIR).agg(*[F.max((F.col("rule") == f).cast("int")).alias(f) for f in FLAGS])
     return found.withColumn("exact_count", sum((F.col(f) for f in FLAGS[1:]), F.col(FLAGS[0])))
 
 
