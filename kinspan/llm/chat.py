@@ -6,16 +6,18 @@ side is its completion, with the character spans of the assistant's texts, the
 only ones that count for a loss. A turn is rendered as
 ``<|role|>\\ntext<|end|>\\n``.
 
-``natural_pairs`` makes the pairs where none are given: conversations that open
-with the same turn are alternatives. A large group is dealt by hash into parts
-of about ``GROUP``, and within a part neighbours by conv_id pair up, the smaller
-id chosen. A conversation left over has no rejected side; none is dropped.
+``natural_pairs`` makes the pairs where none are given: chosen is a conversation
+up to its last assistant turn, rejected the same with the last reply of another
+conversation in that turn. Conversations are dealt by hash into parts of about
+``GROUP``; the reply comes from the next one by conv_id in the part (from the
+first, after the last), so no task sees all conversations. A conversation that
+has no reply to lend or to replace has no rejected side; none is dropped.
 
 Cases: turns are ordered by turn, role, text (nulls first); null roles and texts
 are empty; repeated turns are turns; rows without a conv_id form one
-conversation; equal conversations leave empty completions; an empty table gives
-no rows; further columns are not read. A conversation is one row of the result,
-so its turns meet in one task.
+conversation; equal replies leave empty completions; an empty table gives no
+rows; further columns are not read. A conversation is one row of the result, so
+its turns meet in one task.
 """
 
 from __future__ import annotations
@@ -36,14 +38,23 @@ def gathered(turns: DataFrame) -> DataFrame:
     return lists.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def last_answer(turns: Column) -> Column:
+    """Place of the last assistant turn from 1, or 0."""
+    return F.coalesce(F.array_max(F.transform(turns, lambda t, i: F.when(t["role"] == ANSWERS, i + 1).otherwise(0))), F.lit(0))
+
+
 def natural_pairs(conversations: DataFrame, group: int = GROUP) -> DataFrame:
-    """(chosen_id, chosen, rejected_id, rejected): the sides' turns; rejected is null where a conversation is left over."""
-    opened = conversations.withColumn("opening", F.md5(F.concat_ws("|", F.col("turns")[0]["role"], F.col("turns")[0]["text"])))
-    large = opened.groupBy("opening").agg(F.count("*").alias("n")).where(F.col("n") > group).select("opening", F.ceil(F.col("n") / group).alias("parts"))
-    dealt = opened.join(large, "opening", "left").withColumn("part", unit_hash(F.col("conv_id")) % F.coalesce("parts", F.lit(1)))
-    w = Window.partitionBy("opening", "part").orderBy("conv_id")
-    placed = dealt.select("conv_id", "turns", F.row_number().over(w).alias("place"), F.lead(F.struct("conv_id", "turns")).over(w).alias("other"))
-    return placed.where(F.col("place") % 2 == 1).select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"), F.col("other.conv_id").alias("rejected_id"), F.col("other.turns").alias("rejected"))
+    """(chosen_id, chosen, rejected_id, rejected): the sides' turns; rejected is null where there is none."""
+    total = conversations.agg(F.greatest(F.ceil(F.count("*") / group), F.lit(1)).cast("long")).scalar()
+    placed = conversations.withColumns({"part": unit_hash(F.col("conv_id")) % total, "place": last_answer(F.col("turns"))})
+    placed = placed.withColumn("reply", F.when(F.col("place") > 0, F.get(F.col("turns.text"), F.col("place") - 1)))
+    w = Window.partitionBy("part").orderBy("conv_id")
+    own = F.struct(F.col("conv_id").alias("id"), F.col("reply").alias("reply"))
+    donor = F.when(F.count("*").over(Window.partitionBy("part")) > 1, F.coalesce(F.lead(own).over(w), F.first(own).over(w)))
+    lent = placed.withColumn("donor", donor).withColumn("able", (F.col("place") > 0) & F.col("donor.reply").isNotNull())
+    cut = F.when(F.col("place") > 0, F.slice("turns", F.lit(1), F.col("place"))).otherwise(F.col("turns"))
+    swapped = F.concat(F.slice("turns", F.lit(1), F.greatest(F.col("place") - 1, F.lit(0))), F.array(F.struct(F.lit(ANSWERS).alias("role"), F.col("donor.reply").alias("text"))))
+    return lent.select(F.col("conv_id").alias("chosen_id"), cut.alias("chosen"), F.when(F.col("able"), F.col("donor.id")).alias("rejected_id"), F.when(F.col("able"), swapped).alias("rejected"))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -72,7 +83,7 @@ def answer_spans(turns: Column) -> Column:
 
 
 def formatted(pairs: DataFrame) -> DataFrame:
-    """Prompt, completions and masks of every pair."""
+    """Prompt, completions and masks of every pair (chosen_id, chosen, rejected_id, rejected)."""
     none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
     p = pairs.withColumn("n_common", F.when(F.col("rejected").isNull(), 0).otherwise(common_turns(F.col("chosen"), F.col("rejected"))))
     p = p.withColumn("rejected", F.coalesce("rejected", none))
@@ -96,13 +107,17 @@ ORACLE = r"""
 WITH lists AS (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
   FROM conversations GROUP BY conv_id),
-opened AS (SELECT *, md5(ts[1].role || '|' || ts[1].text) AS opening FROM lists),
-sized AS (SELECT *, count(*) OVER (PARTITION BY opening) AS n FROM opened),
-dealt AS (SELECT *, ('0x' || substr(md5(coalesce(conv_id::VARCHAR, '')), 1, 15))::BIGINT % (CASE WHEN n > 64 THEN ceil(n / 64.0) ELSE 1 END)::BIGINT AS part FROM sized),
 placed AS (
-  SELECT conv_id, ts, row_number() OVER w AS place, lead(conv_id) OVER w AS other_id, lead(ts) OVER w AS other
-  FROM dealt WINDOW w AS (PARTITION BY opening, part ORDER BY conv_id ASC NULLS FIRST)),
-pairs AS (SELECT conv_id AS chosen_id, ts AS a, other_id AS rejected_id, coalesce(other, []) AS b FROM placed WHERE place % 2 = 1),
+  SELECT *, ('0x' || substr(md5(coalesce(conv_id::VARCHAR, '')), 1, 15))::BIGINT % greatest(ceil((SELECT count(*) FROM lists) / 64.0), 1)::BIGINT AS part,
+         coalesce(list_max(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN ts[i].role = 'assistant' THEN i ELSE 0 END)), 0) AS place FROM lists),
+replies AS (SELECT *, CASE WHEN place > 0 THEN ts[place].text END AS reply FROM placed),
+lent AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY part) > 1 THEN CASE WHEN row_number() OVER w < count(*) OVER (PARTITION BY part) THEN lead(reply) OVER w ELSE first_value(reply) OVER w END END AS donor,
+         CASE WHEN row_number() OVER w < count(*) OVER (PARTITION BY part) THEN lead(conv_id) OVER w ELSE first_value(conv_id) OVER w END AS donor_id
+  FROM replies WINDOW w AS (PARTITION BY part ORDER BY conv_id ASC NULLS FIRST)),
+pairs AS (
+  SELECT conv_id AS chosen_id, CASE WHEN place > 0 THEN ts[1:place] ELSE ts END AS a, CASE WHEN place > 0 AND donor IS NOT NULL THEN donor_id END AS rejected_id,
+         CASE WHEN place > 0 AND donor IS NOT NULL THEN list_concat(ts[1:place - 1], [{'role': 'assistant', 'text': donor}]) ELSE [] END AS b FROM lent),
 counted AS (
   SELECT *, CASE WHEN least(len(a), len(b)) = 0 THEN 0 ELSE
     coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1, least(len(a), len(b))) END AS n

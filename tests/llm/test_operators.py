@@ -293,20 +293,34 @@ def test_embeddings(spark):
     assert embedding_dedup.op10_embedding_dedup(spark, frame.limit(0)).count() == 0
 
 
+TURN = "struct<role:string,text:string>"
+
+
+def test_preference_pairs(spark):
+    a = [("user", "hi"), ("assistant", "good day"), ("user", "more"), ("assistant", "no")]
+    b = [("user", "hi"), ("assistant", "good day"), ("user", "less"), ("assistant", "yé")]
+    given = [(1, a, 2, b), (3, a, 4, a), (5, a, 6, a[:3]), (7, a[:1], None, None), (8, [], 9, b), (10, [("", "")], 11, [("", ""), ("assistant", "")])]
+    got = {r["chosen_id"]: r for r in chat.formatted(spark.createDataFrame(given, f"chosen_id long, chosen array<{TURN}>, rejected_id long, rejected array<{TURN}>")).collect()}
+    assert [got[i]["n_common"] for i in (1, 3, 5, 7, 8, 10)] == [2, 4, 3, 0, 0, 1]
+    r = got[1]
+    assert r["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\ngood day<|end|>\n"
+    assert r["chosen_completion"] == "<|user|>\nmore<|end|>\n<|assistant|>\nno<|end|>\n"
+    begin, end = map(int, r["rejected_loss"].split(":"))
+    assert r["rejected_completion"][begin:end] == "yé"
+    assert got[3]["chosen_completion"] == got[3]["rejected_completion"] == "" and got[5]["rejected_completion"] == ""
+    assert got[7]["rejected_completion"] == "" and got[7]["chosen_completion"] == "<|user|>\nhi<|end|>\n"
+    assert len(got[8]["rejected_loss"].split(",")) == 2
+
+
 def test_chat(spark):
     data = [
-        (1, 0, "user", "hi"), (1, 1, "assistant", "good day"), (1, 2, "user", "more"), (1, 3, "assistant", "no"),
-        (2, 0, "user", "hi"), (2, 1, "assistant", "good day"), (2, 2, "user", "less"), (2, 3, "assistant", "yé"),
-        (3, 0, "user", "hi"), (4, 0, "user", "alone"), (4, 1, None, None), (None, 0, "user", "x"), (4, 1, None, None),
+        (1, 1, "assistant", "good day"), (1, 0, "user", "hi"), (1, 2, "user", "bye"), (2, 0, "user", "yo"), (2, 1, "assistant", "what"),
+        (3, 0, "user", "alone"), (4, 0, None, None), (4, 0, None, None), (None, 0, "user", "x"), (None, 1, "assistant", "y"),
     ]
     got = {r["chosen_id"]: r for r in chat.op8_chat_preferences(spark, spark.createDataFrame([(*r, 1) for r in data], "conv_id long, turn long, role string, text string, turns int")).collect()}
-    assert set(got) == {1, 3, 4, None}
-    r = got[1]
-    assert (r["rejected_id"], r["n_common"]) == (2, 2)
-    assert r["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\ngood day<|end|>\n"
-    assert r["chosen_completion"] == "<|user|>\nmore<|end|>\n<|assistant|>\nno<|end|>\n"
-    a, b = map(int, r["rejected_loss"].split(":"))
-    assert r["rejected_completion"][a:b] == "yé"
-    assert got[3]["rejected_id"] is None and got[3]["chosen_completion"] == "<|user|>\nhi<|end|>\n"
-    assert got[4]["chosen_completion"].count("<||>\n<|end|>") == 2 and got[4]["chosen_loss"] == ""
+    assert set(got) == {1, 2, 3, 4, None}
+    assert (got[None]["rejected_id"], got[1]["rejected_id"], got[2]["rejected_id"]) == (1, 2, None)
+    assert got[1]["prompt"] == "<|user|>\nhi<|end|>\n" and got[1]["chosen_completion"] == "<|assistant|>\ngood day<|end|>\n"
+    assert got[1]["rejected_completion"] == "<|assistant|>\nwhat<|end|>\n" and got[1]["rejected_loss"] == "14:18"
+    assert got[4]["chosen_completion"].count("<||>\n<|end|>") == 2 and got[4]["chosen_loss"] == "" and got[3]["rejected_id"] is None
     assert chat.op8_chat_preferences(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
