@@ -45,7 +45,7 @@ LENGTH = 200
 GRAM = 50
 CHUNK_WINDOWS = 1 << 22
 SLICES = 2  # of the window hashes, compared one after another: half the shuffle stands on disk at a time
-RUNS = "key long, text_hash long, start int, windows int, anchor long, symbol long, copies int, leads boolean"
+RUNS = "key long, text_hash long, starts array<int>, windows int, anchor long, symbol long, copies int, leads boolean"
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -103,7 +103,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Every run, with the number of equal runs in its block; ``leads`` marks one of them."""
+    """Every different run of a document, with all its places, and the number of equal runs in its block; ``leads`` marks one document of the block."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in textcore.slabs(batches, "text"):
@@ -113,10 +113,12 @@ def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             _, first, letters = np.unique(symbol, return_index=True, return_inverse=True)
             cuts = np.flatnonzero(row[1:] != row[:-1]) + 1
             copies = np.concatenate(repeat_counts(np.split(letters, cuts)))
-            leads = np.zeros(len(row), bool)
-            leads[first] = True
+            _, one, group, times = np.unique(row * len(first) + letters, return_index=True, return_inverse=True, return_counts=True)
+            places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)), pa.int32()), pa.array(start[np.argsort(group, kind="stable")].astype(np.int32)))
+            leads = np.zeros(len(one), bool)
+            leads[np.unique(letters[one], return_index=True)[1]] = True
             keys, hashes = (rows.column(c).to_numpy() for c in ("key", "text_hash"))
-            columns = [pa.array(keys[row]), pa.array(hashes[row]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), signed(anchor), signed(symbol), pa.array(copies.astype(np.int32)), pa.array(leads)]
+            columns = [pa.array(keys[row[one]]), pa.array(hashes[row[one]]), places, pa.array(windows[one].astype(np.int32)), signed(anchor[one]), signed(symbol[one]), pa.array(copies[one].astype(np.int32)), pa.array(leads)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RUNS.split(", ")])
 
     return texts.select("key", "text_hash", "text").mapInArrow(runs, RUNS)
@@ -154,9 +156,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     anchors = runs.where("leads").groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor")
     shared = staged(runs.join(anchors.hint("shuffle_hash"), "anchor"), "shared-runs")
     dropped(runs)
-    symbols = shared.where("leads").groupBy("anchor", "symbol").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "text_hash", "start", "windows")).alias("one"))
+    symbols = shared.where("leads").groupBy("anchor", "symbol").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "text_hash", F.get("starts", 0).alias("start"), "windows")).alias("one"))
     symbols = staged(symbols, "symbols")
-    whole = shared.join(symbols.where(F.col("n") > 1).select("anchor", "symbol").hint("shuffle_hash"), ["anchor", "symbol"]).select("key", "text_hash", "start", "windows")
+    whole = shared.join(symbols.where(F.col("n") > 1).select("anchor", "symbol").hint("shuffle_hash"), ["anchor", "symbol"]).select("key", "text_hash", "starts", "windows")
     mixed = symbols.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1).select("anchor")
     compared = symbols.join(mixed, "anchor").select("one.key", "one.text_hash", F.struct("one.start", "one.windows", "anchor", (F.col("n") == 1).alias("alone")).alias("run"))
     listed = compared.groupBy("key", "text_hash").agg(F.collect_list("run").alias("runs"))
@@ -167,8 +169,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         some = windows.where(F.pmod("window", F.lit(SLICES)) == k)
         again = some.groupBy("window", "anchor").agg(F.count("*").alias("n"), F.max("alone").alias("any_alone")).where((F.col("n") > 1) & F.col("any_alone")).select("window", "anchor")
         single = some.where("alone").join(again.hint("shuffle_hash"), ["window", "anchor"])
-        parts.append(staged(single.select("key", "text_hash", F.col("position").alias("start"), F.lit(1).alias("windows")), "single-windows"))
-    spans = staged(reduce(DataFrame.union, parts).groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "spans")
+        parts.append(staged(single.select("key", "text_hash", F.array("position").alias("starts"), F.lit(1).alias("windows")), "single-windows"))
+    spans = staged(reduce(DataFrame.union, parts).groupBy("key", "text_hash").agg(F.collect_list(F.struct("starts", "windows")).alias("spans")), "spans")
     for done in (shared, symbols, windows, *parts[1:]):
         dropped(done)
     return spans
@@ -182,6 +184,12 @@ def removed_mask(size: int, spans: np.ndarray, counts: np.ndarray, length: int)
     return np.cumsum(edges[:-1]) > 0
 
 
+def span_arrays(spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Every place, and how many windows follow there."""
+    starts = np.concatenate([np.asarray(x["starts"], np.int64) for x in spans])
+    return starts, np.repeat([x["windows"] for x in spans], [len(x["starts"]) for x in spans])
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Every row of ``docs`` with its spans (null where it has none)."""
     named = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
@@ -195,9 +203,7 @@ def row_masks(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, length:
     for i, own in enumerate(spans):
         text = data[offs[i] : offs[i + 1]]
         if own:
-            starts = np.fromiter((x["start"] for x in own), np.int64, len(own))
-            counts = np.fromiter((x["windows"] for x in own), np.int64, len(own))
-            yield i, text, removed_mask(len(text), starts, counts, length)
+            yield i, text, removed_mask(len(text), *span_arrays(own), length)
         else:
             yield i, text, None
 
