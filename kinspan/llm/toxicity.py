@@ -2,10 +2,12 @@
 
 Examples are a bounded sample of the labelled rows (``MOST_EXAMPLES``, half of
 each label, the smallest hashes of doc_id). Terms are runs of letters, digits and
-non-ASCII bytes, A-Z lower-cased; the vocabulary is the terms of the examples
-that are at least ``LIFT`` times as frequent in one class as in the other and
-significant by the log likelihood ratio, at most ``MOST_TERMS``. Document
-frequencies of the vocabulary are counted over all documents.
+non-ASCII bytes, A-Z lower-cased; the vocabulary is all terms of the examples,
+however rare. A term weighs (1 + log tf) * idf * (1 + G2): its document frequency
+is counted over all documents, and G2 is the log likelihood ratio of its presence
+against the label, so that no term is left out and telling ones count for more.
+Terms that no example has are in no vector, as usual where a fitted vocabulary is
+applied to new texts.
 
 The index is an inverted one: a posting list per term, in blocks of ``BLOCK``
 examples, each block with its largest weight. A query adds up block maxima to an
@@ -16,9 +18,10 @@ voted on with weights that grow as the distance falls; examples count as their
 label's share among the training rows. Votes are calibrated by isotonic
 regression of the examples' leave-one-out votes.
 
-Cases: a text without vocabulary terms (null, empty or other) has the score of
-such examples; repeated rows have equal scores; equally near examples are taken
-in the order of the index (by the hash of their vectors); without examples of both labels every
+Cases: a text without terms (null, empty or other) has the score of such
+examples, one whose terms no example has the share of toxic training rows;
+repeated rows have equal scores; equally near examples are taken in the order of
+the index (by their heaviest terms); without examples of both labels every
 score is the share of toxic training rows (0 without any); an empty table gives
 no rows; columns other than doc_id and text are not read.
 """
@@ -26,7 +29,8 @@ no rows; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import InitVar, dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,6 @@ from kinspan.llm import textcore
 from kinspan.llm.staging import staged
 
 MOST_EXAMPLES = 6_000
-MOST_TERMS = 512
-LIFT = 3.0
 BLOCK = 64
 NEIGHBOURS = 15
 FOLDS = 5
@@ -56,29 +58,40 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return textcore.word_hashes(spaced, offs)
 
 
+class Vectors(NamedTuple):
+    """Sparse rows: row i has the terms and weights first[i] to first[i + 1], terms ascending."""
+
+    first: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+
 @dataclass
 class Index:
-    """Examples by term: the vocabulary's hashes (sorted), idf, unit vectors, and the block maxima."""
+    """Examples by term: the vocabulary's hashes (sorted), term weights, unit vectors (sparse or a matrix), and the block maxima."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
-    vectors: np.ndarray
+    vectors: InitVar[Vectors | np.ndarray]
     toxic: np.ndarray
     weight: np.ndarray
     ids: np.ndarray
     prior: float
 
-    def __post_init__(self) -> None:
-        n = len(self.vectors)
-        blocks = -(-n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, len(self.vocabulary)))
-        padded[:n] = self.vectors
-        self.maxima = padded.reshape(blocks, BLOCK, -1).max(axis=1).T.copy()
-        self.postings: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        for t in range(len(self.vocabulary)):
-            held = np.flatnonzero(padded[:, t])
-            cuts = np.searchsorted(held, np.arange(blocks + 1) * BLOCK)
-            self.postings.append([(held[a:b] % BLOCK, padded[held[a:b], t]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    def __post_init__(self, vectors: Vectors | np.ndarray) -> None:
+        if isinstance(vectors, np.ndarray):
+            row, term = np.nonzero(vectors)
+            vectors = Vectors(np.searchsorted(row, np.arange(len(vectors) + 1)), term, vectors[row, term])
+        self.n = len(vectors.first) - 1
+        self.blocks = -(-self.n // BLOCK)
+        row = np.repeat(np.arange(self.n), np.diff(vectors.first))
+        order = np.argsort(vectors.terms, kind="stable")
+        self.held, self.held_weight = row[order].astype(np.int32), vectors.weights[order]
+        spot = vectors.terms[order].astype(np.int64) * self.blocks + self.held // BLOCK
+        opens = np.flatnonzero(np.append(True, spot[1:] != spot[:-1])[: len(spot)])
+        self.block, self.maxima = (spot[opens] % self.blocks).astype(np.int32), np.maximum.reduceat(self.held_weight, opens) if len(opens) else np.zeros(0)
+        self.opens = np.append(opens, len(spot))  # where the postings of a term in a block begin
+        self.of_term = np.searchsorted(spot[opens] // self.blocks, np.arange(len(self.vocabulary) + 1))
 
     def query(self, term_ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The query's unit vector, by term."""
@@ -87,19 +100,33 @@ class Index:
 
     def nearest(self, term_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a positive cosine."""
-        bounds = q @ self.maxima[term_ids]
+        sizes = self.of_term[term_ids + 1] - self.of_term[term_ids]
+        entry, q = textcore.ragged(self.of_term[term_ids], sizes), np.repeat(q, sizes)
+        block = self.block[entry]
+        bounds = np.bincount(block, weights=q * self.maxima[entry], minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-12 < best[-1]:
+        a, step = 0, 4
+        while a < self.blocks:
+            least = best[-1] - 1e-9 if len(best) == k else 0.0
+            group = order[a : a + step]
+            group = group[(bounds[group] > 0) & (bounds[group] >= least)]
+            if not len(group):
                 break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(term_ids, q, strict=True):
-                at, w = self.postings[t][b]
-                scores[at] += x * w
+            visited = np.zeros(self.blocks, bool)
+            visited[group] = True
+            here = visited[block]
+            held = self.opens[entry[here] + 1] - self.opens[entry[here]]
+            posting = textcore.ragged(self.opens[entry[here]], held)
+            scores = np.bincount(self.held[posting], weights=np.repeat(q[here], held) * self.held_weight[posting], minlength=self.n)
             hit = np.flatnonzero(scores > 0)
-            at, values = np.concatenate([best_at, hit + b * BLOCK]), np.concatenate([best, scores[hit]])
-            order = np.lexsort((at, -values.round(12)))[:k]
-            best_at, best = at[order], values[order]
+            at, values = np.concatenate([best_at, hit]), np.concatenate([best, scores[hit]])
+            if len(at) > k:
+                near = values >= np.partition(values, -k)[-k] - 1e-9
+                at, values = at[near], values[near]
+            near = np.lexsort((at, -values.round(12)))[:k]
+            best_at, best = at[near], values[near]
+            a, step = a + step, 4 * step
         return best_at, best
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
@@ -167,71 +194,71 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Scorer
             h, first = terms(data, offs)
             for i, key in enumerate(rows.column("doc_id").to_pylist()):
                 t, n = np.unique(h[first[i] : first[i + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([t.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64()))], names=["doc_id", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([t.view(np.int64)], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
 
-    held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(example_terms, "doc_id long, terms array<long>, counts array<long>")
-    held = staged(held.dropDuplicates(["doc_id"]).join(ids, "doc_id"), "examples")
-    sizes = {r["is_toxic"]: r["n"] for r in held.groupBy("is_toxic").agg(F.count("*").alias("n")).collect()}
-    if min(sizes.get(0, 0), sizes.get(1, 0)) == 0:
+    held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(example_terms, "doc_id long, terms array<long>, counts array<int>")
+    held = staged(held.dropDuplicates(["doc_id"]).join(ids, "doc_id"), "examples").toArrow().combine_chunks()
+    toxic, doc_ids = held["is_toxic"].to_numpy().astype(float), held["doc_id"].to_numpy()
+    sizes = {1: int(toxic.sum()), 0: int((1 - toxic).sum())}
+    if min(sizes.values()) == 0:
         return Scorer(None, np.zeros(1), np.array([prior]), prior)
-    by_term = held.select(F.explode("terms").alias("term"), "is_toxic").groupBy("term").agg(F.sum("is_toxic").alias("pos"), F.sum(1 - F.col("is_toxic")).alias("neg"))
-    r_pos, r_neg = (F.col("pos") + 0.5) / (sizes[1] + 1.0), (F.col("neg") + 0.5) / (sizes[0] + 1.0)
-    telling = by_term.where((F.col("pos") + F.col("neg") >= 5) & ((r_pos >= LIFT * r_neg) | (r_neg >= LIFT * r_pos)))
-    telling = telling.orderBy(F.desc(F.abs(r_pos - r_neg)), "term").limit(4 * MOST_TERMS).toPandas()
-    score = log_likelihood_ratio(telling["pos"].to_numpy(float), telling["neg"].to_numpy(float), sizes[1], sizes[0])
-    order = np.argsort(-score, kind="stable")[:MOST_TERMS]
-    order = order[score[order] >= 15.0]
-    vocabulary = np.sort(telling["term"].to_numpy(np.int64)[order].view(np.uint64))
+    lengths = held["terms"].combine_chunks().value_lengths().to_numpy()
+    vocabulary, term = np.unique(held["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
+    counts = held["counts"].combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(toxic)), lengths)
     if not len(vocabulary):
         return Scorer(None, np.zeros(1), np.array([prior]), prior)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocabulary) + 1, np.int64), 0
+        df = np.zeros(len(vocabulary) + 1, np.int64)
         for rows, data, offs in textcore.slabs(batches, "text"):
-            at, row = known_terms(data, offs, vocabulary)
+            at, row, _ = known_terms(data, offs, vocabulary)
             df[:-1] += np.bincount(np.unique(row * len(vocabulary) + at) % len(vocabulary), minlength=len(vocabulary))
             df[-1] += len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], names=["term", "n"])
 
     counted = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(vocabulary) + 1)
     df[counted["term"]] = counted["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    rows = held.select("doc_id", "is_toxic", F.arrays_zip("terms", "counts").alias("z")).select("doc_id", "is_toxic", F.filter("z", lambda z: z["terms"].isin(vocabulary.view(np.int64).tolist())).alias("z")).collect()
-    vectors = np.zeros((len(rows), len(vocabulary)))
-    for i, r in enumerate(rows):
-        for z in r["z"]:
-            vectors[i, np.searchsorted(vocabulary, np.uint64(z["terms"] % (1 << 64)))] = 1 + np.log(z["counts"])
-    vectors *= idf
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    toxic = np.array([r["is_toxic"] for r in rows], float)
-    doc_ids = np.array([r["doc_id"] for r in rows], np.int64)
-    share = {k: n_train[k] / sum(n_train.values()) / (sizes[k] / len(rows)) for k in (0, 1)}
+    pos = np.bincount(term, weights=toxic[row], minlength=len(vocabulary))
+    telling = 1 + np.maximum(0, log_likelihood_ratio(pos, np.bincount(term, minlength=len(vocabulary)) - pos, sizes[1], sizes[0]))
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * telling
+
+    weights = (1 + np.log(counts)) * idf[term]
+    weights /= np.sqrt(np.bincount(row, weights=weights * weights, minlength=len(toxic)))[row]
+    share = {k: n_train[k] / sum(n_train.values()) / (sizes[k] / len(toxic)) for k in (0, 1)}
     weight = np.where(toxic == 1, share[1], share[0])
-    bare = norms == 0
+    bare = lengths == 0
     without = float(((weight * toxic)[bare].sum() + SMOOTH * prior) / (weight[bare].sum() + SMOOTH))
-    kept = np.flatnonzero(~bare)
-    unit = vectors[kept] / norms[kept, None]
-    order = sorted(range(len(kept)), key=lambda i: (unit[i].tobytes(), toxic[kept[i]]))
-    kept, unit = kept[order], unit[order]
+    first = np.append(0, np.cumsum(lengths))
+
+    def place(i: int) -> tuple:
+        """Examples with the same heaviest terms stand together, so that few blocks have high bounds."""
+        t, w = term[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
+        return t[np.argsort(-w, kind="stable")[:4]].tolist(), t.tobytes(), w.tobytes(), toxic[i], doc_ids[i]
+
+    kept = np.array(sorted(np.flatnonzero(~bare), key=place))
+    own = textcore.ragged(first[kept], lengths[kept])
+    unit = Vectors(np.append(0, np.cumsum(lengths[kept])), term[own], weights[own])
     index = Index(vocabulary, idf, unit, toxic[kept], weight[kept], doc_ids[kept], prior)
-    votes = np.zeros(len(kept))
-    for i in range(len(kept)):
-        t = np.flatnonzero(unit[i])
-        at, cos = index.nearest(t, unit[i][t], NEIGHBOURS + 1)
-        own = at != i
-        votes[i] = index.vote(at[own][:NEIGHBOURS], cos[own][:NEIGHBOURS])
-    steps, values = isotonic(votes, index.toxic, index.weight)
+    votes, led = np.zeros(len(kept)), np.zeros(len(kept), bool)
+    for i, (a, b) in enumerate(zip(unit.first[:-1], unit.first[1:], strict=True)):
+        at, cos = index.nearest(unit.terms[a:b], unit.weights[a:b], NEIGHBOURS + 1)
+        other = at != i
+        votes[i], led[i] = index.vote(at[other][:NEIGHBOURS], cos[other][:NEIGHBOURS]), other.any()
+    if not led.any():
+        led[:] = True
+    steps, values = isotonic(votes[led], index.toxic[led], index.weight[led])
     return Scorer(index, steps, values, without)
 
 
-def known_terms(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every occurrence of a vocabulary term: its number and its row."""
+def known_terms(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every occurrence of a vocabulary term: its number and its row; and how many terms each row has, known or not."""
     h, first = terms(data, offs)
     at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
     hit = np.flatnonzero(vocabulary[at] == h)
-    return at[hit], np.searchsorted(first, hit, side="right") - 1
+    return at[hit], np.searchsorted(first, hit, side="right") - 1, np.diff(first)
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, evidence_cosine array<double>"
@@ -247,7 +274,8 @@ def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
             n = len(rows)
             scores, evidence, cosines = np.full(n, s.without_terms), [[] for _ in range(n)], [[] for _ in range(n)]
             if s.index is not None:
-                at, row = known_terms(data, offs, s.index.vocabulary)
+                at, row, sizes = known_terms(data, offs, s.index.vocabulary)
+                scores[sizes > 0] = s.index.prior
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 for i in np.unique(row):
                     t, counts = np.unique(at[cuts[i] : cuts[i + 1]], return_counts=True)

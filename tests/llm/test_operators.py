@@ -250,6 +250,26 @@ def test_toxicity(spark):
     assert toxicity.op9_toxicity(spark, docs, marks.limit(0)).count() == len(data)
 
 
+def test_toxicity_indexes_rare_terms(spark):
+    rng = random.Random(11)
+    data = [(i, " ".join([f"c{rng.randint(0, 40)}" for _ in range(20)] + ["vile"] * (i % 5 == 0))) for i in range(300)]
+    singular = " ".join(f"seldom{k}" for k in range(12))
+    labels = [(i, int(i % 5 == 0)) for i in range(300)]
+    free = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5]
+    told, asked = free[0], 5000
+    data += [(told, singular), (asked, singular), (asked + 1, "never seen"), (asked + 2, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, (told, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.op9_toxicity(spark, docs, marks).collect()}
+    assert got[asked]["evidence"] == [told] and math.isclose(got[asked]["evidence_cosine"][0], 1.0)
+    assert got[asked]["predicted"] == 1
+    assert got[asked + 1]["evidence"] == [] and got[asked + 1]["predicted"] == 0
+    chosen = {i for i, _ in [*labels, (told, 1)] if zlib.crc32(str(i).encode()) % 5}
+    sets = {i: set(t.lower().split()) for i, t in data if i in chosen}
+    for i, t in data[:40]:
+        assert len(got[i]["evidence"]) == min(15, sum(bool(x & set(t.split())) for x in sets.values()))
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = rng.random((700, 12)) * (rng.random((700, 12)) < 0.3)
