@@ -3,7 +3,9 @@
 A document's terms are its distinct lower-cased runs of letters and digits, each
 known by a class of ``CLASS_BITS`` hash bits. The lexicon holds the classes whose
 document frequency, counted over all documents, lies in a band: neither words
-that most texts share nor rare ones. It is a bit table of fixed size whatever
+that most texts share nor rare ones. Copies do not lift a class out of the band:
+the upper end also admits what lies below it among the distinct term sets of the
+documents. The lexicon is a bit table of fixed size whatever
 the corpus, since a class of rare words stays below the band.
 
 A fingerprint is ``SUBSETS`` hashes. For each, a random order of the lexicon
@@ -13,8 +15,10 @@ subset, sorted and distinct. Likeness is the share of equal hashes. Texts with
 the same terms have the same fingerprint; an edit changes a hash only if a term
 of that small subset goes or comes.
 
-A text without lexicon terms has one hash of all its terms instead ("x..."), one
-without terms "-"; such a fingerprint is like an equal one (1) and no other (0).
+A text with less than ``LEAST_SHARE`` of its terms in the lexicon (one of a large
+group of near copies, say) uses all its terms in the same subsets, so that its
+likeness stays graded. A text without terms has "-", which is like an equal one
+(1) and no other (0).
 
 Cases: null texts are empty. The next document of rows with one doc_id is that
 of the next greater doc_id (nulls come first; after the last, the first); among
@@ -35,6 +39,7 @@ from kinspan.llm.staging import staged
 CLASS_BITS = 21
 BAND = (0.0005, 0.03)
 BAND_LEAST = (2.0, 16.0)  # the band's ends in documents are never below these
+LEAST_SHARE = 1 / 3
 SUBSETS = 24
 RANK_MASK = (1 << 62) - 1
 NULL_KEY = -(1 << 63)
@@ -54,9 +59,12 @@ def term_classes(text: Column) -> Column:
 def lexicon_bits(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """One row: the lexicon as an array of 2**(CLASS_BITS - 6) words of 64 bits."""
     total = docs.agg(F.count("*").alias("n"))
-    seen = docs.select(F.explode(term_classes(F.col("text"))).alias("class")).groupBy("class").agg(F.count("*").alias("df"))
-    n = total.scalar().cast("double")
-    inside = seen.where((F.col("df") >= F.greatest(F.lit(BAND_LEAST[0]), n * band[0])) & (F.col("df") <= F.greatest(F.lit(BAND_LEAST[1]), n * band[1])))
+    sets = docs.select(term_classes(F.col("text")).cast("array<int>").alias("classes")).groupBy(F.xxhash64("classes").alias("set")).agg(F.count("*").alias("copies"), F.first("classes").alias("classes"))
+    sets = staged(sets.select("copies", "classes"), "term-sets")
+    seen = sets.select("copies", F.explode("classes").alias("class")).groupBy(F.col("class").cast("long").alias("class")).agg(F.sum("copies").alias("df"), F.count("*").alias("sets"))
+    n, n_sets = total.scalar().cast("double"), sets.agg(F.count("*").alias("n")).scalar().cast("double")
+    most = (F.col("df") <= F.greatest(F.lit(BAND_LEAST[1]), n * band[1])) | (F.col("sets") <= F.greatest(F.lit(BAND_LEAST[1]), n_sets * band[1]))
+    inside = seen.where((F.col("df") >= F.greatest(F.lit(BAND_LEAST[0]), n * band[0])) & most)
     bit = F.expr("shiftleft(1L, cast(class & 63 as int))")
     words = inside.groupBy(F.shiftright("class", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     dense = docs.sparkSession.range(1 << (CLASS_BITS - 6)).withColumnRenamed("id", "word").join(words, "word", "left")
@@ -76,17 +84,16 @@ def fingerprint(classes: Column, lexicon: Column, subsets: int = SUBSETS) -> Col
     def hashes(kept: Column) -> Column:
         seeds = F.array(*[F.lit(k) for k in range(subsets)])
         each = F.transform(seeds, lambda k: let(F.transform(kept, lambda c: F.xxhash64(c, k).bitwiseAND(F.lit(RANK_MASK))), digest))
-        whole = F.concat(F.lit("x"), F.lpad(F.hex(F.xxhash64(classes)), 16, "0"))
-        return F.when(F.size(kept) > 0, F.array_join(each, "-")).when(F.size(classes) > 0, whole).otherwise("-")
+        return F.when(F.size(kept) > 0, F.array_join(each, "-")).otherwise("-")
 
-    return let(band, hashes)
+    return let(let(band, lambda some: F.when(F.size(some) >= F.size(classes) * LEAST_SHARE, some).otherwise(classes)), hashes)
 
 
 def likeness(a: Column, b: Column, subsets: int = SUBSETS) -> Column:
     """Share of equal hashes of two fingerprints."""
     pairs = F.zip_with(F.split(a, "-"), F.split(b, "-"), lambda x, y: F.coalesce(x == y, F.lit(False)))
     share = F.size(F.filter(pairs, lambda same: same)) / F.lit(float(subsets))
-    return F.when(a == b, 1.0).when(F.length(a).eqNullSafe(F.length(b)) & ~a.startswith("x"), share).otherwise(0.0)
+    return F.when(a == b, 1.0).when(F.length(a).eqNullSafe(F.length(b)), share).otherwise(0.0)
 
 
 def next_keys(docs: DataFrame) -> DataFrame:

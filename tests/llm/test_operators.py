@@ -193,6 +193,25 @@ def test_fingerprints(spark, rows, docs):
     assert fingerprints.op4_fingerprints(spark, docs.where("doc_id = 1")).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("edits", [0, 2])
+def test_fingerprints_in_a_large_group(spark, edits):
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(80)]
+    data = []
+    for i in range(240):
+        words = list(base) if i % 3 == 0 else [f"w{rng.randint(0, 4000)}" for _ in range(80)]
+        for k in range(edits if i % 3 == 0 else 0):
+            words[rng.randrange(80)] = f"e{i}x{k}"
+        data.append((i, " ".join(words)))
+    got = {r["doc_id"]: r for r in fingerprints.op4_fingerprints(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    group = [got[i] for i in range(0, 240, 3)]
+    assert sum(r["near_edited"] for r in group) / len(group) > 0.3
+    marks = [r["fingerprint"].split("-") for r in group]
+    shared = [sum(a == b for a, b in zip(x, y)) / len(x) for x, y in zip(marks, marks[1:])]
+    assert sum(shared) / len(shared) > 0.7
+    assert sum(got[i]["near_next"] for i in range(240)) / 240 < 0.05
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = [f"g{i}" for i in range(200)]
