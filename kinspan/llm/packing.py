@@ -10,11 +10,13 @@ histogram (at most ``capacity`` counts, whatever the corpus):
    gap is large enough, a new bin opens.
 
 The plan is a list of runs "the k pieces of length s with ranks r.. go to bins
-b.. at offset o". Pieces are numbered within their length by the batch that
+b.. at offset o". Pieces are numbered within their length by the task that
 made them, so no task sees all pieces of a length, and look their run up.
 
-Cases: null and empty texts give the end id alone; rows repeated or without a
-doc_id are packed as rows of their own; an empty table gives no rows; columns
+Cases: null and empty texts give the end id alone; a text of any length is cut
+into as many pieces as it needs; which of equally long pieces goes where is left
+to the order of rows and changes no number of sequences; rows repeated or without
+a doc_id are packed as rows of their own; an empty table gives no rows; columns
 other than doc_id and text are not read.
 """
 
@@ -29,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinspan.llm import textcore
 from kinspan.llm.staging import staged
-from kinspan.llm.tokens import BYTE_LEVEL, encoder, text_runs
+from kinspan.llm.textcore import ragged
+from kinspan.llm.tokens import BYTE_LEVEL, encoder, with_end
 
-PIECES = "batch_no long, rank_in_batch long, doc_id long, text_chars long, piece int, start long, length long, ids_crc32 long"
+PIECES = "batch_no long, rank_in_batch long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -43,32 +47,37 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return ([rest] if rest else []) + [capacity] * (n // capacity)
 
 
+def cut_rows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, piece, start, length) of the pieces of rows of these numbers of tokens, as :func:`cut_lengths` has them."""
+    pieces = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), pieces)
+    piece = ragged(np.zeros(len(sizes), np.int64), pieces)
+    first = (sizes - (pieces - 1) * capacity)[row]
+    return row, piece, np.where(piece > 0, first + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first)
+
+
 def make_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, kind: str = BYTE_LEVEL) -> DataFrame:
-    """A row per piece; rank_in_batch numbers the pieces of a length within an Arrow batch."""
+    """A row per piece; rank_in_batch numbers the pieces of a length within a task."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         codes = encoder(tokenizer, kind)
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            keys, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            seen = np.zeros(capacity + 1, np.int64)
-            rows: list[tuple] = []
-            for a, b in text_runs(values):
-                ids, at = codes.encode([v or "" for v in values[a:b]])
-                for i in range(b - a):
-                    own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
-                    start = 0
-                    for k, size in enumerate(cut_lengths(len(own), capacity)):
-                        rows.append((number, int(seen[size]), keys[a + i], len(values[a + i] or ""), k, start, size, zlib.crc32(own[start : start + size].tobytes())))
-                        seen[size] += 1
-                        start += size
-            number += 1
-            if rows:
-                names = [x.split()[0] for x in PIECES.split(", ")]
-                kinds = [pa.int32() if n == "piece" else pa.int64() for n in names]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        number = TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
+        for rows, data, offs in textcore.slabs(batches, "text"):
+            ids, at = with_end(*codes.encode(data, offs), end_id)
+            row, piece, start, length = cut_rows(np.diff(at), capacity)
+            order = np.argsort(length, kind="stable")
+            by_size = length[order]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) - np.searchsorted(by_size, by_size) + seen[by_size]
+            seen += np.bincount(length, minlength=capacity + 1)
+            blob, begin = memoryview(ids.astype("<u4").view(np.uint8)), (4 * (at[row] + start)).tolist()
+            crcs = [zlib.crc32(blob[a : a + n]) for a, n in zip(begin, (4 * length).tolist(), strict=True)]
+            keys = rows.column("doc_id").cast(pa.int64()).take(pa.array(row))
+            columns = [pa.array(np.full(len(row), number)), pa.array(rank), keys, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
 
@@ -155,12 +164,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, kin
                 run = np.searchsorted(firsts, rank[where], side="right") - 1
                 sequence[where] = bins[run] + rank[where] - firsts[run]
                 offset[where] = offs[run]
-            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "text_chars")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "text_chars", "sequence_id", "offset"])
+            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     ranked = pieces.join(offsets, ["length", "batch_no"]).withColumn("rank", F.col("rank_base") + F.col("rank_in_batch"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "text_chars", "rank").mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, text_chars long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
-    return pack(docs, tokenizer, end_id=2, capacity=1024).drop("text_chars")
+    return pack(docs, tokenizer, end_id=2, capacity=1024)

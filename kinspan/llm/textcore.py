@@ -17,7 +17,9 @@ U64 = np.uint64
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-SLAB_BYTES = 3 << 20
+BASE_B = 0xD1342543DE82EF95
+INVERSE_B = pow(BASE_B, -1, 1 << 64)
+SLAB_BYTES = 1 << 19
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -34,7 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_KEYS = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
-_powers = {BASE: np.ones(1, U64), INVERSE: np.ones(1, U64)}
+BYTE_KEYS_B = mix(np.arange(513, 769, dtype=U64) * U64(BASE_B))
+_powers = {b: np.ones(1, U64) for b in (BASE, INVERSE, BASE_B, INVERSE_B)}
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
@@ -46,16 +49,16 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return _powers[base][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """c with c[j] - c[i] = sum of key(data[t]) * BASE**t for i <= t < j."""
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
+    """c with c[j] - c[i] = sum of key(data[t]) * base**t for i <= t < j; ``second`` takes other keys and another base."""
     c = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(BYTE_KEYS[data] * powers(len(data)), out=c[1:])
+    np.cumsum((BYTE_KEYS_B if second else BYTE_KEYS)[data] * powers(len(data), BASE_B if second else BASE), out=c[1:])
     return c
 
 
-def span_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
     """A 64-bit hash of each byte span, independent of where it stands."""
-    shift = powers(len(c), INVERSE)[starts]
+    shift = powers(len(c), INVERSE_B if second else INVERSE)[starts]
     return mix((c[ends] - c[starts]) * shift + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

@@ -1,27 +1,65 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from kinspan.llm import packing, token_files, tokens
 
-ODD = [None, "a  b c", "a  b c ", " lead", "x \n y", "l1\nl2 w", "\x01 z \x01", "", " ", "a", "  two  spaces\n\n\tx's it's don't ", "é́ ΑΣ ς x y \x1c z", "0123 45 ,,, !!", "naïve " * 900, "x" * 3000, "a", "tab\tand\x0bvt \x0cff\r\ncr"]
+ODD = [None, "a  b c", "a  b c ", " lead", "x \n y", "l1\nl2 w", "\x01 z \x01", "", " ", "a", "  two  spaces\n\n\tx's it's don't ", "é́ ΑΣ ς x y \x1c z", "0123 45 ,,, !!", "naïve " * 900, "x" * 3000, "a", "tab\tand\x0bvt \x0cff\r\ncr", "hello <|endoftext|> world<|startoftext|><| x"]
 
 
 def plain(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def joined(texts):
+    raw = [(x or "").encode() for x in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+
+
 def test_units_give_the_ids_of_the_text():
     for name, kind in (("byte_bpe_50k.json", tokens.BYTE_LEVEL), ("word_bpe_49k.json", tokens.WORD_LEVEL)):
-        ids, at = tokens.encoder(public_tokenizers.path(name), kind).encode([x or "" for x in ODD])
+        ids, at = tokens.encoder(public_tokenizers.path(name), kind).encode(*joined(ODD))
         assert [ids[a:b].tolist() + [9] for a, b in zip(at[:-1], at[1:])] == plain(name, ODD, 9)
 
 
+def test_units_of_random_texts(monkeypatch):
+    """Every pair and triple of kinds of characters, with a cache that is forgotten all the time."""
+    rng = random.Random(4)
+    letters = ["a", "b", "Z", "é", "×", "÷", "Σ", "7", "4", "'", "'s", "'ll", ".", "&&", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\x85", "\x1c", "\x01", "\u0301", "世", "🙂", "<|", "<|endoftext|>", "word", " the"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    texts.append("".join(rng.choice(letters) for _ in range(30_000)))
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 1000)
+    monkeypatch.setattr(tokens, "MOST_UNITS", 700)
+    for name, kind in (("byte_bpe_50k.json", tokens.BYTE_LEVEL), ("word_bpe_49k.json", tokens.WORD_LEVEL)):
+        codes = tokens.UnitEncoder(public_tokenizers.path(name), kind)
+        for a in range(0, len(texts), 1500):
+            part = texts[a : a + 1500]
+            ids, at = codes.encode(*joined(part))
+            want = plain(name, part, 9)
+            for i, own in enumerate(want):
+                assert ids[at[i] : at[i + 1]].tolist() + [9] == own, (name, part[i])
+
+
+def test_units_with_equal_hashes(monkeypatch):
+    monkeypatch.setattr(tokens.textcore, "span_hash", lambda c, a, b: (b - a).astype(np.uint64))
+    codes = tokens.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"), tokens.BYTE_LEVEL)
+    texts = ["one two six", "ten", "abc two", "x", ""]
+    for _ in range(2):
+        ids, at = codes.encode(*joined(texts))
+        assert [ids[a:b].tolist() + [9] for a, b in zip(at[:-1], at[1:])] == plain("byte_bpe_50k.json", texts, 9)
+
+
+def test_ids_that_need_more_bits_are_an_error():
+    with pytest.raises(ValueError):
+        token_files.pack(np.array([3, 4096], np.uint32), 12)
+
+
 def test_bit_packing_round_trip_and_random_access():
     ids = np.arange(1000, dtype=np.uint32) * 7 % 4000
     for bits in (12, 13, 16, 17, 32):
