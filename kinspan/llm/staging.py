@@ -2,7 +2,8 @@
 
 ``spark.checkpoint.dir`` names a folder every executor and the driver can read,
 so a table written there survives the loss of an executor and cuts the lineage.
-Where it is unset (tests on one machine) a temporary folder takes its place.
+Where it is unset, a session on one machine (tests) takes a temporary folder; on
+a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -17,18 +18,33 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets a local one only where none is set."""
+    """The shared folder of the session. Where none is set, a session on this machine alone gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinspan/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> None:
+    """``df`` as Parquet in a new folder, which goes when the application ends, if not before."""
+    df.write.parquet(path)
+    target, system = hadoop_path(df.sparkSession, path)
+    system.deleteOnExit(target)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back."""
     spark = df.sparkSession
@@ -36,7 +52,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     try:
         spark.conf.set(CLEANUP, "true")
-        df.write.parquet(path)
+        written(df, path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -51,5 +67,5 @@ def dropped(df: DataFrame) -> None:
     root = f"{shared_dir(spark)}/kinspan/"
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if root.split(":", 1)[-1].lstrip("/") in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            target, system = hadoop_path(spark, path)
+            system.delete(target, True)

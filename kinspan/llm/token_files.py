@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinspan.llm.staging import new_path
-from kinspan.llm.tokens import WORD_LEVEL, encoder, text_runs
+from kinspan.llm import textcore
+from kinspan.llm.staging import new_path, written
+from kinspan.llm.tokens import WORD_LEVEL, encoder, with_end
 
 BLOCK_IDS = 65_536
+STEP = 1 << 14  # ids packed or unpacked at a time; a multiple of 8, so steps end at whole bytes
 STORE_SCHEMA = "shard int, block int, shard_start long, n_ids long, bits int, doc_ids array<long>, doc_ends array<long>, payload binary"
 
 
@@ -44,27 +46,35 @@ def id_bits(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def vocabulary_size(tokenizer: str) -> int:
+    """Ids of the tokenizer, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """``ids`` at ``bits`` bits each, most significant bit first."""
-    if bits in (8, 16, 32):
-        return ids.astype(f">u{bits // 8}").tobytes()
-    wide = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-    return np.packbits(wide[:, 32 - bits :].reshape(-1)).tobytes()
-
-
-def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
-    """The ids at positions start .. stop - 1 of a packed block."""
-    if stop <= start:
-        return np.zeros(0, np.uint32)
-    if bits in (8, 16, 32):
-        size = bits // 8
-        return np.frombuffer(payload, f">u{size}", stop - start, start * size).astype(np.uint32)
-    first, last = start * bits // 8, -(-stop * bits // 8)
-    flat = np.unpackbits(np.frombuffer(payload, np.uint8, last - first, first))
-    skip = start * bits - first * 8
-    wide = np.zeros((stop - start, 32), np.uint8)
-    wide[:, 32 - bits :] = flat[skip : skip + (stop - start) * bits].reshape(-1, bits)
-    return np.packbits(wide, axis=1).view(">u4").reshape(-1).astype(np.uint32)
+    """``ids`` at ``bits`` bits each, most significant bit first. An id that needs more is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
+    out = []
+    for a in range(0, len(ids), STEP):
+        wide = np.unpackbits(ids[a : a + STEP].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+        out.append(np.packbits(wide[:, 32 - bits :].reshape(-1)).tobytes())
+    return b"".join(out)
+
+
+def unpack(payload, bits: int, start: int, stop: int) -> np.ndarray:
+    """The ids at positions start .. stop - 1 of a packed block (bytes or a buffer)."""
+    out = [np.zeros(0, np.uint32)]
+    for a in range(start, stop, STEP):
+        n = min(STEP, stop - a)
+        first, skip = divmod(a * bits, 8)
+        flat = np.unpackbits(np.frombuffer(payload, np.uint8, -(-(skip + n * bits) // 8), first))
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, 32 - bits :] = flat[skip : skip + n * bits].reshape(-1, bits)
+        out.append(np.packbits(wide, axis=1).view(">u4").reshape(-1).astype(np.uint32))
+    return np.concatenate(out)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, kind: str = WORD_LEVEL) -> None:
@@ -77,32 +87,33 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
         codes = encoder(tokenizer, kind)
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("payload", pa.binary())])
-        held_ids: list = []
-        held: list[np.ndarray] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # doc_ids, ids, numbers of ids
         size = 0
 
         def closed() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) for x in held])
-            row = [[shard], [block], [before], [int(ends[-1])], [bits], [held_ids], [ends.tolist()], [pack(np.concatenate(held), bits)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
-
-        for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            values = texts.to_pylist()
-            for a, b in text_runs(values):
-                ids, at = codes.encode([v or "" for v in values[a:b]])
-                for i in range(b - a):
-                    held_ids.append(keys[a + i])
-                    held.append(np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)))
-                    size += len(held[-1])
-                    if size >= BLOCK_IDS:
-                        yield closed()
-                        block, before, held_ids, held, size = block + 1, before + size, [], [], 0
+            ends = np.cumsum(np.concatenate([n for _, _, n in held]))
+            payload = pack(np.concatenate([ids for _, ids, _ in held]), bits)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), x) for x in (pa.concat_arrays([k for k, _, _ in held]), pa.array(ends))]
+            head = [pa.array([v], t.type) for v, t in zip((shard, block, before, int(ends[-1]), bits), schema, strict=False)]
+            return pa.RecordBatch.from_arrays([*head, *lists, pa.array([payload], pa.binary())], schema=schema)
+
+        for rows, data, offs in textcore.slabs(batches, "text"):
+            keys = rows.column("doc_id").cast(pa.int64())
+            ids, at = with_end(*codes.encode(data, offs), end_id)
+            a = 0
+            while a < len(rows):
+                b = min(len(rows), int(np.searchsorted(at, at[a] + BLOCK_IDS - size)))
+                held.append((keys.slice(a, b - a), ids[at[a] : at[b]], np.diff(at[a : b + 1])))
+                size += int(at[b] - at[a])
+                a = b
+                if size >= BLOCK_IDS:
+                    yield closed()
+                    block, before, held, size = block + 1, before + size, [], 0
         if held:
             yield closed()
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(blocks, STORE_SCHEMA).write.parquet(path)
+    written(rows.mapInArrow(blocks, STORE_SCHEMA), path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -122,19 +133,18 @@ def document_digests(blocks: DataFrame) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ends = [0, *row["doc_ends"]]
-                ids = unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4")
-                crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                starts = [row["start"] + a for a in ends[:-1]]
-                sizes = [b - a for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row["doc_ids"], starts, sizes, crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for i in range(len(batch)):
+                bits, n_ids, start = (batch.column(c)[i].as_py() for c in ("bits", "n_ids", "start"))
+                ends = np.append(0, batch.column("doc_ends")[i].values.to_numpy())
+                blob = memoryview(unpack(batch.column("payload")[i].as_buffer(), bits, 0, n_ids).astype("<u4").view(np.uint8))
+                crcs = [zlib.crc32(blob[a:b]) for a, b in zip((4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(start + ends[:-1]), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.select("bits", "n_ids", "doc_ids", "doc_ends", "payload", "start").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def op7_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, vocabulary: int = 49_408) -> DataFrame:
+def op7_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes the store to the shared folder and reads every document back from it."""
     path = new_path(spark, "token-store")
-    write_store(docs, path, tokenizer, end_id, vocabulary)
+    write_store(docs, path, tokenizer, end_id, vocabulary_size(tokenizer))
     return document_digests(read_store(spark, path))
