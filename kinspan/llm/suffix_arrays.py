@@ -130,23 +130,23 @@ def joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def repeat_counts(rows: list[np.ndarray], length: int = 1) -> list[np.ndarray]:
-    """For each position of each row, how many positions in all rows start the same ``length`` symbols (0 where fewer follow)."""
+def longest_repeats(rows: list[np.ndarray], sizes: list[np.ndarray]) -> list[np.ndarray]:
+    """For each position of each row, the size of the longest string from there that starts at another position of the rows too.
+
+    ``sizes`` has the size of each symbol (equal symbols have equal sizes). In
+    suffix order the longest common prefix is that with a neighbour.
+    """
     if not rows:
         return []
-    text, starts = joined(rows)
+    _, ranks = np.unique(np.concatenate(rows), return_inverse=True)
+    cuts = np.cumsum([len(r) for r in rows])[:-1]
+    text, starts = joined(np.split(ranks, cuts))
     order = suffix_array(text)
-    if length == 1:
-        close = np.append(True, text[order[1:]] != text[order[:-1]])
-    else:
-        close = common_prefixes(text, order) < length
-    opens = np.flatnonzero(close)
-    sizes = np.diff(np.append(opens, len(order)))
-    counts = np.empty(len(text), np.int64)
-    counts[order] = np.repeat(sizes, sizes)
-    out = []
-    for a, r in zip(starts, rows, strict=True):
-        own = counts[a : a + len(r)].copy()
-        own[max(0, len(r) - length + 1) :] = 0
-        out.append(own)
-    return out
+    shared = np.append(common_prefixes(text, order), 0)
+    most = np.empty(len(text), np.int64)
+    most[order] = np.maximum(shared[:-1], shared[1:])
+    at = np.concatenate([a + np.arange(len(r)) for a, r in zip(starts, rows, strict=True)])
+    size = np.zeros(len(text), np.int64)
+    size[at] = np.concatenate(sizes)
+    reach = np.append(0, np.cumsum(size))
+    return np.split(reach[at + most[at]] - reach[at], cuts)
