@@ -40,7 +40,12 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of x and y have a cosine of at least the threshold."""
+    """Which rows of x and y have a cosine of at least the threshold.
+
+    Rows are scaled by a power of two first, so that no norm leaves the range of
+    doubles; that changes no digit of a cosine.
+    """
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None]) for v in (x, y))
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (qx, sx, ax, dx), (qy, sy, ay, dy) = quantised(x / nx[:, None]), quantised(y / ny[:, None])
     kind = np.float32 if x.shape[1] * 127 * 127 < 2**24 else np.float64  # whole numbers stay exact

@@ -15,7 +15,7 @@ at which the capped shares add up, found with one ordered pass over sources).
 Cases: a null text has size 0; a null source is a source; rows with the same or
 no doc_id are rows of their own, taken or left together; an empty table gives no
 rows; an empty source has target 0; columns other than doc_id, source and text
-are not read.
+are not read and may have any name. The windows over sources read a row per source.
 """
 
 from __future__ import annotations
@@ -109,11 +109,11 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     def keyed(small: DataFrame) -> DataFrame:
         return F.broadcast(small) if few else small
 
-    found = thresholds(slim, targets, keyed).select(F.col("source_key").alias("_mix_key"), F.col("copies").alias("_mix_copies"), F.col("limit").alias("_mix_limit"))
-    whole = docs.join(keyed(found), source_key == F.col("_mix_key"))
-    times = F.col("_mix_copies") + F.when(unit_hash(F.col("doc_id")) < F.col("_mix_limit"), 1).otherwise(0)
-    taken = whole.withColumn("_mix_take", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(F.col("_mix_take") <= times)
-    return taken.select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key.alias("source_key"), unit_hash(F.col("doc_id")).alias("hash"))
+    whole = rows.join(keyed(thresholds(slim, targets, keyed).select("source_key", "copies", "limit")), "source_key")
+    times = F.col("copies") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)
+    taken = whole.select("row", times.alias("times"), F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).alias("take")).where(F.col("take") <= F.col("times"))
+    return taken.select("row.*")
 
 
 ORACLE = r"""
