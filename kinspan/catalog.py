@@ -13,13 +13,22 @@ from pyspark.sql import functions as F
 
 from kinspan.functions import normalize
 from kinspan.operators import audits, decide, features, metrics, pairs, retrieval
+from kinspan.plans import jobs
+from kinspan.plans.linkage import CandidateGenerator, Config, TargetContext
 from kinspan.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: The normalized records by application and folder: made once, like the table that ingestion leaves, and spilled where memory is short.
-_NORMALIZED: dict[tuple[str, str], DataFrame] = {}
+#: Tables that many queries start from, kept for one application and folder at a time, like those that the jobs leave; spilled where memory is short.
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def release() -> None:
+    """Forgets the kept tables."""
+    for df in _KEPT.values():
+        df.unpersist()
+    _KEPT.clear()
 
 
 class Data:
@@ -35,12 +44,19 @@ class Data:
     def entities(self) -> DataFrame:
         return tables.entity_view(self.spark, self.sf_dir)
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        home = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if any(k[:2] != home for k in _KEPT):
+            if all(k[0] == home[0] for k in _KEPT):
+                release()
+            _KEPT.clear()
+        if (*home, name) not in _KEPT:
+            _KEPT[*home, name] = make().persist()
+        return _KEPT[*home, name]
+
     @property
     def records(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _NORMALIZED:
-            _NORMALIZED[key] = tables.normalized(self.entities).persist()
-        return _NORMALIZED[key]
+        return self.kept("records", lambda: tables.normalized(self.entities))
 
     @property
     def s1(self) -> DataFrame:
@@ -48,7 +64,7 @@ class Data:
 
     @property
     def truth(self) -> DataFrame:
-        """Pairs of an S1 and another source's record with the same text."""
+        """Pairs of an S1 and another source's record of one language with the same words 17 and 18: copies, and texts that differ elsewhere, so that channels miss some."""
         e = self.entities.select("entity_id", "source", "truth_key")
         a = e.where(F.col("source") == "S1").select(F.col("entity_id").alias("entity_id_s1"), "truth_key")
         b = e.where(F.col("source") != "S1").select(F.col("entity_id").alias("entity_id_cand"), "truth_key")
@@ -60,11 +76,15 @@ class Data:
 
     @property
     def pool(self) -> DataFrame:
-        return retrieval.evidence(self.records)
+        return self.kept("pool", lambda: retrieval.evidence(self.records))
 
     @property
     def folds(self) -> DataFrame:
-        return pairs.stratified_folds(pairs.match_profile(self.s1, self.truth))
+        return self.kept("folds", lambda: pairs.stratified_folds(pairs.match_profile(self.s1, self.truth)))
+
+    @property
+    def profile(self) -> DataFrame:
+        return pairs.match_profile(self.s1, self.truth)
 
     @property
     def labelled(self) -> DataFrame:
@@ -73,13 +93,13 @@ class Data:
         return pairs.with_folds(pairs.labelled(cut, self.truth), self.folds, self.s1)
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[Data], DataFrame]], Callable[[Data], DataFrame]]:
-    """Registers a plan under ``name``, with its SQL twin."""
+def query(name: str, sql: str | None = None, more: str = "") -> Callable[[Callable[[Data], DataFrame]], Callable[[Data], DataFrame]]:
+    """Registers a plan under ``name``, with its SQL twin and the common table expressions that only this one needs."""
 
     def add(plan: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: plan(Data(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = f"WITH {COMMON}\n{sql}"
+            ORACLES[name] = f"WITH {COMMON}{',' + more if more else ''}\n{sql}"
         return plan
 
     return add
@@ -88,8 +108,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Data], DataF
 SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
+#: Letters whose case folding is not their lower case, as far as the test rows hold them.
+FOLDED = {"ß": "ss", "ς": "σ", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
+
+
 def sql_clean(x: str) -> str:
-    return f"trim(regexp_replace(replace(replace(lower(coalesce({x}, '')), 'ß', 'ss'), 'ς', 'σ'), '{SPACES}', ' ', 'g'))"
+    held = f"lower(nfc_normalize(coalesce({x}, '')))"
+    for a, b in FOLDED.items():
+        held = f"replace({held}, '{a}', '{b}')"
+    return f"trim(regexp_replace({held}, '{SPACES}', ' ', 'g'))"
 
 
 def sql_punct(x: str) -> str:
@@ -105,8 +132,9 @@ def sql_exact(name: str, a: str, b: str) -> str:
       ON s.{a} = t.{a} AND s.{b} = t.{b} AND s.country = t.country WHERE s.source = 'S1' AND t.source <> 'S1' AND s.{a} <> '' AND s.{b} <> ''"""
 
 
-def sql_tfidf(name: str, view: str, k: int = 5, chars: bool = False) -> str:
+def sql_tfidf(name: str, view: str, k: int = 5, chars: bool = False, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None) -> str:
     """CTEs ending in {name}(s1, cand, src, score, rank)."""
+    cut = "" if max_terms is None else f" QUALIFY row_number() OVER (PARTITION BY source, country ORDER BY all_n DESC, term) <= {max_terms}"
     if chars:
         words = f"list_filter(string_split({sql_clean(view)}, ' '), lambda w: w <> '')"
         grams = f"flatten(list_transform({words}, lambda w: list_concat(CASE WHEN length(w) + 2 < 3 THEN [' ' || w || ' '] ELSE list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)) END, list_transform(range(1, greatest(length(w), 1)), lambda i: substr(' ' || w || ' ', i, 4)))))"
@@ -117,7 +145,8 @@ def sql_tfidf(name: str, view: str, k: int = 5, chars: bool = False) -> str:
 {name}_t AS (SELECT source, country, entity_id, unnest({grams}) AS term FROM norm WHERE {view} <> ''),
 {name}_f AS (SELECT source, country, entity_id, term, count(*) AS n FROM {name}_t GROUP BY ALL),
 {name}_n AS (SELECT source, country, count(*) AS docs FROM norm WHERE {view} <> '' AND source <> 'S1' GROUP BY ALL),
-{name}_i AS (SELECT f.source, f.country, term, ln((1.0 + docs::DOUBLE) / (1.0 + count(*)::DOUBLE)) + 1.0 AS idf FROM {name}_f f JOIN {name}_n USING (source, country) WHERE f.source <> 'S1' GROUP BY f.source, f.country, term, docs),
+{name}_d AS (SELECT f.source, f.country, term, docs, count(*) AS df, sum(f.n) AS all_n FROM {name}_f f JOIN {name}_n USING (source, country) WHERE f.source <> 'S1' GROUP BY f.source, f.country, term, docs),
+{name}_i AS (SELECT source, country, term, ln((1.0 + docs::DOUBLE) / (1.0 + df::DOUBLE)) + 1.0 AS idf FROM {name}_d WHERE df >= {min_df} AND df <= {max_df}::DOUBLE * docs{cut}),
 {name}_t0 AS (SELECT i.source, i.country, i.term, f.entity_id, (1.0 + ln(f.n::DOUBLE)) * idf AS w FROM {name}_f f JOIN {name}_i i ON f.source = i.source AND f.country = i.country AND f.term = i.term),
 {name}_q0 AS (SELECT i.source, i.country, i.term, f.entity_id, (1.0 + ln(f.n::DOUBLE)) * idf AS w FROM {name}_f f JOIN {name}_i i ON f.source = 'S1' AND f.country = i.country AND f.term = i.term),
 {name}_tw AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY source, entity_id)) AS x FROM {name}_t0),
@@ -130,7 +159,7 @@ COMMON = rf"""
 words AS (SELECT *, string_split_regex(trim(text), '\s+') AS w FROM documents),
 ent AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, 'S' || (doc_id % 3 + 1) AS source, lang AS country,
   array_to_string(list_slice(w, 1, 6), ' ') AS business_name, array_to_string(list_slice(w, 7, 16), ' ') AS business_address,
-  array_to_string(regexp_extract_all(text, '\p{{Nd}}+'), ' ') AS addr_numeric_tokens, md5(text) AS truth_key FROM words),
+  array_to_string(regexp_extract_all(text, '\p{{Nd}}+'), ' ') AS addr_numeric_tokens, CASE WHEN len(w) >= 18 THEN md5(lang || ' ' || array_to_string(list_slice(w, 17, 18), ' ')) END AS truth_key FROM words),
 norm0 AS (SELECT *, {sql_clean("business_name")} AS name_norm_clean, {sql_clean("business_address")} AS addr_norm_clean FROM ent),
 norm AS (SELECT *, {sql_punct("name_norm_clean")} AS name_norm_punct, {sql_punct("addr_norm_clean")} AS addr_norm_punct,
   strip_accents(name_norm_clean) AS name_norm_accent_fold, strip_accents(addr_norm_clean) AS addr_norm_accent_fold FROM norm0),
@@ -323,12 +352,12 @@ def _(d: Data) -> DataFrame:
     return retrieval.tfidf_pairs(d.records, "name_norm_clean", 10, retrieval.char_terms, zero_based=True)
 
 
-@query("j10_word_tfidf_top20")
+@query("j10_word_tfidf_top20", "SELECT s1 AS entity_id_s1, cand AS entity_id_cand, src AS candidate_source, score, rank::INT AS rank FROM t20", sql_tfidf("t20", "name_norm_clean", 20))
 def _(d: Data) -> DataFrame:
     return retrieval.tfidf_pairs(d.records, "name_norm_clean", 20)
 
 
-@query("v4_pruned_vocabulary_tfidf")
+@query("v4_pruned_vocabulary_tfidf", "SELECT s1 AS entity_id_s1, cand AS entity_id_cand, src AS candidate_source, score, rank::INT AS rank FROM pruned", sql_tfidf("pruned", "name_norm_clean", 10, False, 2, 0.2, 1000))
 def _(d: Data) -> DataFrame:
     return retrieval.tfidf_pairs(d.records, "name_norm_clean", 10, min_df=2, max_df=0.2, max_terms=1000)
 
@@ -716,9 +745,19 @@ def _(d: Data) -> DataFrame:
     return audits.profile(d.entities, ["entity_id", "business_name", "business_address", "country"], "entity_id")
 
 
-@query("q7_order_free_hash")
+def sql_fingerprint(rows: str, columns: list[str]) -> str:
+    """(rows, fingerprint) of a query's columns in this order."""
+    cells = ", ".join(f"coalesce('=' || {c}::VARCHAR, '-')" for c in columns)
+    return f"(SELECT count(*)::BIGINT AS rows, coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), {cells})), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS fingerprint FROM ({rows}))"
+
+
+SQL_FLAGS = "SELECT s1 AS entity_id_s1, cand AS entity_id_cand, src AS candidate_source, exact_name_address_clean, exact_name_address_accent, exact_name_address_punct, unique_exact_name FROM flags"
+
+
+@query("q7_order_free_hash", f"SELECT * FROM {sql_fingerprint(SQL_FLAGS + ' UNION ALL ' + SQL_FLAGS, ['entity_id_s1', 'entity_id_cand', 'candidate_source', 'exact_name_address_clean', 'exact_name_address_accent', 'exact_name_address_punct', 'unique_exact_name'])}")
 def _(d: Data) -> DataFrame:
-    return audits.order_free_hash(d.flags)
+    rows = d.flags.select("entity_id_s1", "entity_id_cand", "candidate_source", *retrieval.FLAGS)
+    return audits.order_free_hash(rows.unionByName(rows))
 
 
 @query("t8_sorted_unique_head", "SELECT DISTINCT p_name FROM part ORDER BY p_name LIMIT 1000")
@@ -736,3 +775,181 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return d.table("orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("place", F.row_number().over(w)).where(F.col("place") <= 3).drop("place")
+
+
+# --- contexts, slices, contracts -------------------------------------------------------------
+
+
+@query("c1_c2_generate", "SELECT * FROM pool")
+def _(d: Data) -> DataFrame:
+    sources = {name: d.records.where(F.col("source") == name) for name in ("S2", "S3")}
+    return CandidateGenerator(Config.everything()).generate(d.records.where(F.col("source") == "S1"), sources)
+
+
+@query("c3_c5_generate_with_context", "SELECT * FROM pool")
+def _(d: Data) -> DataFrame:
+    return CandidateGenerator(Config.everything()).generate_with_context(d.records.where(F.col("source") == "S1"), TargetContext(d.records))
+
+
+@query("c4_context_summary", "SELECT source, country, count(*)::BIGINT AS records, count(DISTINCT name_norm_clean)::BIGINT AS names FROM norm WHERE source <> 'S1' GROUP BY ALL")
+def _(d: Data) -> DataFrame:
+    return TargetContext(d.records).summary()
+
+
+@query("c9_shard_violations", "SELECT 'over_budget' AS rule, count(*)::BIGINT AS n FROM (SELECT entity_id_s1 FROM placed WHERE candidate_rank <= 20 GROUP BY 1 HAVING count(*) > 15) HAVING count(*) > 0")
+def _(d: Data) -> DataFrame:
+    return jobs.shard_violations(retrieval.rank_and_prune(d.pool, 20), d.pool, 15)
+
+
+@query("t6_smoke_limit", "SELECT entity_id, country FROM s1 ORDER BY entity_id LIMIT 50")
+def _(d: Data) -> DataFrame:
+    return jobs.smoke_limit(d.s1.select("entity_id", "country"), 50)
+
+
+@query("f6_sized_sample", """SELECT entity_id, match_bucket FROM (SELECT entity_id, match_bucket, row_number() OVER (PARTITION BY match_bucket ORDER BY md5('42|' || entity_id), entity_id) AS place,
+  count(*) OVER (PARTITION BY match_bucket) AS n, count(*) OVER () AS total FROM profile) WHERE place <= least(n, floor(100 * n / total))""")
+def _(d: Data) -> DataFrame:
+    return pairs.sized_sample(d.profile.select("entity_id", "match_bucket"), "match_bucket", 100)
+
+
+@query("a8_volume_summary", f"""SELECT round(avg(n_pred), 6) AS mean, round(quantile_cont(n_pred::DOUBLE, 0.5), 6) AS median, max(n_pred)::BIGINT AS most, round(avg((n_pred = 0)::INT::DOUBLE), 6) AS share_0,
+  round(avg((n_pred = 1)::INT::DOUBLE), 6) AS share_1, round(avg((n_pred > 1)::INT::DOUBLE), 6) AS share_over_1, round(avg((n_pred > 10)::INT::DOUBLE), 6) AS share_over_10 FROM {sql_counts("SELECT s1, cand FROM flags")}""")
+def _(d: Data) -> DataFrame:
+    return metrics.volume_summary(metrics.hit_counts(d.s1.select("entity_id", "country"), d.flags, d.truth))
+
+
+@query("a14_audit_by_source", """SELECT source, count(*)::BIGINT AS entities, sum(t)::BIGINT AS gt_pairs, round(sum(h) / sum(t), 6) AS pair_recall, round(avg((h > 0)::INT::DOUBLE), 6) AS any_coverage, round(avg((h = t)::INT::DOUBLE), 6) AS full_coverage
+  FROM (SELECT split_part(t.cand, '-', 1) AS source, t.s1, count(*) AS t, count(p.entity_id_cand) AS h FROM truth t LEFT JOIN (SELECT * FROM placed WHERE candidate_rank <= 15) p ON p.entity_id_s1 = t.s1 AND p.entity_id_cand = t.cand GROUP BY 1, 2) GROUP BY 1""")
+def _(d: Data) -> DataFrame:
+    return pairs.audit_by_source(d.labelled, d.truth)
+
+
+@query("m4_coverage_by_sources", """SELECT round(avg(CASE WHEN t2 > 0 THEN (t2 = h2)::INT::DOUBLE END), 6) AS s2_full_coverage, round(avg(CASE WHEN t3 > 0 THEN (t3 = h3)::INT::DOUBLE END), 6) AS s3_full_coverage,
+  round(avg(CASE WHEN t2 > 0 AND t3 > 0 THEN (t2 = h2 AND t3 = h3)::INT::DOUBLE END), 6) AS both_full_coverage FROM (SELECT t.s1, count(*) FILTER (t.cand LIKE 'S2-%') AS t2, count(*) FILTER (t.cand LIKE 'S3-%') AS t3,
+  count(f.cand) FILTER (t.cand LIKE 'S2-%') AS h2, count(f.cand) FILTER (t.cand LIKE 'S3-%') AS h3 FROM truth t LEFT JOIN flags f ON f.s1 = t.s1 AND f.cand = t.cand GROUP BY 1)""")
+def _(d: Data) -> DataFrame:
+    return metrics.coverage_by_sources(d.flags, d.truth)
+
+
+SQL_PLACES = """(SELECT t.cand, p.candidate_rank, f.country, f.match_bucket, f.source_pattern, split_part(t.cand, '-', 1) AS source FROM truth t JOIN profile f ON f.entity_id = t.s1
+  LEFT JOIN placed p ON p.entity_id_s1 = t.s1 AND p.entity_id_cand = t.cand)"""
+
+
+@query("m10_sliced_frontier", f"""SELECT budget, country, match_bucket, source, count(*)::BIGINT AS gt_pairs, round(avg(CASE WHEN (budget = 0 AND candidate_rank IS NOT NULL) OR candidate_rank <= budget THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS recall
+  FROM {SQL_PLACES} CROSS JOIN (SELECT unnest([3, 5, 8, 10, 12, 15, 0])::INT AS budget) GROUP BY GROUPING SETS ((budget), (budget, country), (budget, match_bucket), (budget, source))""")
+def _(d: Data) -> DataFrame:
+    return metrics.sliced_frontier(d.pool, d.truth, d.profile)
+
+
+@query("m14_lost_to_pruning", f"SELECT count(candidate_rank)::BIGINT AS in_pool, count(*) FILTER (candidate_rank <= 15)::BIGINT AS in_pruned, (count(candidate_rank) - count(*) FILTER (candidate_rank <= 15))::BIGINT AS lost FROM {SQL_PLACES}")
+def _(d: Data) -> DataFrame:
+    return metrics.lost_to_pruning(d.pool, d.truth)
+
+
+@query("m15_recall_by_profile", f"SELECT source_pattern, match_bucket, count(*)::BIGINT AS gt_pairs, round(avg(CASE WHEN candidate_rank <= 15 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS recall FROM {SQL_PLACES} GROUP BY GROUPING SETS ((source_pattern), (match_bucket))")
+def _(d: Data) -> DataFrame:
+    return metrics.recall_by_profile(d.pool, d.truth, d.profile)
+
+
+@query("l3_p12_label_shard", "SELECT l.* REPLACE (" + ", ".join(f"{c}::{t.upper()} AS {c}" for c, t in retrieval.STORED.items()) + """), f.n_true_matches::BIGINT AS gt_match_count, sum(l.label) OVER (PARTITION BY l.entity_id_s1)::BIGINT AS retrieved_positive_count,
+  greatest(f.n_true_matches - sum(l.label) OVER (PARTITION BY l.entity_id_s1), 0)::BIGINT AS missing_positive_count FROM labelled l JOIN folds f ON f.entity_id = l.entity_id_s1""")
+def _(d: Data) -> DataFrame:
+    return jobs.label_shard(retrieval.rank_and_prune(d.pool), d.truth, d.folds, d.s1)
+
+
+@query("l6_violations_of_broken_pairs", "SELECT 'wrong_label' AS rule, count(*)::BIGINT AS n FROM labelled WHERE candidate_rank = 1 UNION ALL SELECT 'duplicate_key', count(*)::BIGINT FROM labelled WHERE candidate_rank = 2 UNION ALL SELECT 'bad_source', count(*)::BIGINT FROM labelled WHERE candidate_rank = 3")
+def _(d: Data) -> DataFrame:
+    rank = F.col("candidate_rank")
+    broken = d.labelled.withColumns({"label": F.when(rank == 1, 1 - F.col("label")).otherwise(F.col("label")), "candidate_source": F.when(rank == 3, "S9").otherwise(F.col("candidate_source"))})
+    return pairs.pair_violations(broken.unionByName(broken.where(rank == 2)), d.truth)
+
+
+@query("f2_violations_of_broken_folds", "SELECT 'repeated_id' AS rule, count(*)::BIGINT AS n FROM folds WHERE fold_id = 1 UNION ALL SELECT 'out_of_range', count(*)::BIGINT FROM folds WHERE fold_id = 2 UNION ALL SELECT 'absent_fold', 1")
+def _(d: Data) -> DataFrame:
+    broken = d.folds.withColumn("fold_id", F.when(F.col("fold_id") == 2, 9).otherwise(F.col("fold_id")))
+    return pairs.fold_violations(broken.unionByName(broken.where("fold_id = 1")), 5)
+
+
+@query("q4_cardinality", "SELECT (SELECT count(*) FROM s1)::BIGINT AS s1_rows, (SELECT count(*) FROM s1)::BIGINT AS match_rows, (SELECT count(*) FROM s1)::BIGINT AS candidate_rows, true AS equal")
+def _(d: Data) -> DataFrame:
+    return audits.cardinality(decide.id_lists(d.s1, decide.policy_d1(d.flags, d.records)), decide.id_lists(d.s1, d.flags, "candidate_entity_ids"), d.s1)
+
+
+def sql_lists(pred: str, column: str) -> str:
+    return f"SELECT entity_id AS source1_entity_id, coalesce(string_agg(DISTINCT cand, ',' ORDER BY cand), '') AS {column} FROM s1 LEFT JOIN ({pred}) p ON p.s1 = entity_id GROUP BY 1"
+
+
+@query("o6_submission_metadata", f"""SELECT m.rows, (SELECT count(*) FROM (SELECT DISTINCT s1, cand FROM d1))::BIGINT AS matches, m.fingerprint AS matches_fingerprint, (SELECT count(*) FROM flags)::BIGINT AS candidates, c.fingerprint AS candidates_fingerprint
+  FROM {sql_fingerprint(sql_lists(D1, "matched_entity_ids"), ["source1_entity_id", "matched_entity_ids"])} m CROSS JOIN {sql_fingerprint(sql_lists("SELECT s1, cand FROM flags", "candidate_entity_ids"), ["source1_entity_id", "candidate_entity_ids"])} c""")
+def _(d: Data) -> DataFrame:
+    return jobs.submission_metadata(decide.id_lists(d.s1, decide.policy_d1(d.flags, d.records)), decide.id_lists(d.s1, d.flags, "candidate_entity_ids"))
+
+
+@query("q3_exact_audit", f"""SELECT * FROM (UNPIVOT (SELECT 'volume' AS section, round(avg(n_pred), 6)::DOUBLE AS mean, round(quantile_cont(n_pred::DOUBLE, 0.5), 6)::DOUBLE AS median, max(n_pred)::DOUBLE AS most, round(avg((n_pred = 0)::INT::DOUBLE), 6) AS share_0,
+  round(avg((n_pred = 1)::INT::DOUBLE), 6) AS share_1, round(avg((n_pred > 1)::INT::DOUBLE), 6) AS share_over_1, round(avg((n_pred > 10)::INT::DOUBLE), 6) AS share_over_10 FROM {sql_counts("SELECT s1, cand FROM flags")}) ON COLUMNS(* EXCLUDE section) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'misses', 'missed', count(*)::DOUBLE FROM (SELECT s1, cand FROM truth EXCEPT SELECT s1, cand FROM flags)
+  UNION ALL SELECT 'overlap', 'pairs_by_' || (exact_name_address_clean + exact_name_address_accent + exact_name_address_punct + unique_exact_name), count(*)::DOUBLE FROM flags GROUP BY 2
+  UNION ALL SELECT 'score', 'entities', count(*)::DOUBLE FROM s1 UNION ALL SELECT 'score', 'macro_f05', round(avg({F05}), 6) FROM {sql_counts(D1)}""")
+def _(d: Data) -> DataFrame:
+    return jobs.exact_audit(d.flags, d.truth, d.s1, d.records).where(F.col("section").isin("volume", "misses", "overlap", "score"))
+
+
+@query("q5_smoke_audit", f"""SELECT 'budget' AS section, 'recall_at_' || budget AS metric, recall AS value FROM {sql_frontier("placed").replace("[3, 5, 8, 10, 12, 15, 0]", "[5, 10, 15, 20, 30, 0]")}
+  UNION ALL SELECT 'pruning', 'in_pool', count(candidate_rank)::DOUBLE FROM {SQL_PLACES} UNION ALL SELECT 'pruning', 'in_pruned', (count(*) FILTER (candidate_rank <= 15))::DOUBLE FROM {SQL_PLACES}
+  UNION ALL SELECT 'pruning', 'lost', (count(*) FILTER (candidate_rank > 15))::DOUBLE FROM {SQL_PLACES} UNION ALL SELECT 'contracts', 'violations', 0.0::DOUBLE""")
+def _(d: Data) -> DataFrame:
+    return jobs.smoke_audit(d.pool, d.truth, d.folds, d.profile).where(F.col("section").isin("budget", "pruning", "contracts"))
+
+
+SQL_SORTED = {c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')" for c in "ab"}
+
+
+@query("x1_name_ratios", f"""SELECT entity_id_s1, entity_id_cand, round(CASE WHEN ok THEN 2.0::DOUBLE * {sql_lcs("sa", "sb")} / (length(sa) + length(sb)) END::FLOAT::DOUBLE, 5) AS name_token_sort_ratio,
+  round(CASE WHEN ok THEN CASE WHEN len(i) > 0 AND (len(i) = len(x) OR len(i) = len(y)) THEN 1.0 WHEN core = 0 THEN best ELSE greatest(best, 1 - (1 + length(ra)) / (core + core + 1 + length(ra)), 1 - (1 + length(rb)) / (core + core + 1 + length(rb))) END END::FLOAT::DOUBLE, 5) AS name_token_set_ratio,
+  round(CASE WHEN ok THEN len(i) / len(x) END::FLOAT::DOUBLE, 5) AS name_token_containment_s1_in_cand, round(CASE WHEN ok THEN len(i) / len(y) END::FLOAT::DOUBLE, 5) AS name_token_containment_cand_in_s1,
+  (CASE WHEN ok THEN greatest(len(x), len(y)) - len(i) ELSE 0 END)::SMALLINT AS name_unmatched_token_count, (a = '')::TINYINT AS name_s1_missing, (b = '')::TINYINT AS name_cand_missing, (a = '' AND b = '')::TINYINT AS name_both_missing
+  FROM (SELECT *, 1 - (length(ra) + length(rb) - 2 * {sql_lcs("ra", "rb")}) / ((core + (core > 0)::INT + length(ra)) + (core + (core > 0)::INT + length(rb)))::DOUBLE AS best
+  FROM (SELECT *, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS ra, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS rb, length(array_to_string(list_sort(i), ' ')) AS core
+  FROM (SELECT *, a <> '' AND b <> '' AS ok, list_intersect(x, y) AS i, {SQL_SORTED["a"]} AS sa, {SQL_SORTED["b"]} AS sb FROM (SELECT f.s1 AS entity_id_s1, f.cand AS entity_id_cand, s.name_norm_clean AS a, t.name_norm_clean AS b,
+  {sql_set("s.name_norm_clean")} AS x, {sql_set("t.name_norm_clean")} AS y FROM (SELECT s1, cand FROM nw WHERE rank <= 1) f JOIN norm s ON s.entity_id = f.s1 JOIN norm t ON t.entity_id = f.cand))))""")
+def _(d: Data) -> DataFrame:
+    near = retrieval.tfidf_pairs(d.records, "name_norm_clean", 1)
+    out = features.text_features(features.with_texts(near, d.records), "name")
+    ratios = [F.round(F.col(f"name_{n}").cast("double"), 5).alias(f"name_{n}") for n in ("token_sort_ratio", "token_set_ratio", "token_containment_s1_in_cand", "token_containment_cand_in_s1")]
+    return out.select("entity_id_s1", "entity_id_cand", *ratios, "name_unmatched_token_count", "name_s1_missing", "name_cand_missing", "name_both_missing")
+
+
+@query("x2_numeric_ratios", f"""SELECT entity_id_s1, entity_id_cand, round(CASE WHEN len(x) > 0 THEN len(i) / len(x) END::FLOAT::DOUBLE, 6) AS numeric_overlap_ratio_s1, round(CASE WHEN len(y) > 0 THEN len(i) / len(y) END::FLOAT::DOUBLE, 6) AS numeric_overlap_ratio_cand
+  FROM (SELECT *, list_intersect(x, y) AS i FROM (SELECT l.entity_id_s1, l.entity_id_cand, {sql_set("s.addr_numeric_tokens")} AS x, {sql_set("t.addr_numeric_tokens")} AS y FROM labelled l JOIN norm s ON s.entity_id = l.entity_id_s1 JOIN norm t ON t.entity_id = l.entity_id_cand))""")
+def _(d: Data) -> DataFrame:
+    out = features.numeric_features(features.with_texts(d.labelled, d.records))
+    return out.select("entity_id_s1", "entity_id_cand", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("numeric_overlap_ratio_s1", "numeric_overlap_ratio_cand")])
+
+
+@query("x_passed_features", "SELECT entity_id_s1, entity_id_cand, " + ", ".join(features.PASSED) + " FROM labelled")
+def _(d: Data) -> DataFrame:
+    return d.labelled.select("entity_id_s1", "entity_id_cand", *features.PASSED)
+
+
+@query("x4_relative_address_features", f"""SELECT entity_id_s1, entity_id_cand, round(sim::DOUBLE, 5) AS address_char_ratio, (rank() OVER (PARTITION BY entity_id_s1 ORDER BY sim DESC NULLS LAST))::INT AS address_rank,
+  round((max(sim) OVER w)::DOUBLE - sim::DOUBLE, 5) AS address_gap, round(CASE WHEN max(sim) OVER w > 0 THEN sim::DOUBLE / (max(sim) OVER w)::DOUBLE END, 5) AS address_ratio_to_best, (rank() OVER (PARTITION BY entity_id_s1 ORDER BY sim DESC NULLS LAST) - 1)::INT AS higher_address
+  FROM {SQL_SIM.replace("name_norm_clean", "addr_norm_clean")} WINDOW w AS (PARTITION BY entity_id_s1)""")
+def _(d: Data) -> DataFrame:
+    out = features.relative_features(features.text_features(features.text_features(features.with_texts(d.flags, d.records), "name"), "address"))
+    number = lambda c, name: F.round(F.col(c).cast("double"), 5).alias(name)
+    return out.select("entity_id_s1", "entity_id_cand", number("address_char_ratio", "address_char_ratio"), F.col("address_similarity_rank_within_s1").cast("int").alias("address_rank"), number("address_gap_from_best", "address_gap"), number("address_ratio_to_best", "address_ratio_to_best"), F.col("count_candidates_with_higher_address_sim").cast("int").alias("higher_address"))
+
+
+UNICODE_ROWS = ("Tiếng Việt", "ΆΛΦΑ Βήτα ς", "Cafe\u0301 Noe\u0308l", "Eﬁn ﬂuﬀ", "STRASSE Straße", "a\u00a0b\u2003c", "AT&T Co.-op — x", "")
+
+
+@query("n2_n3_n6_unicode_rows", "SELECT v, nfc_normalize(v) AS v_norm_unicode, c AS v_norm_clean, " + sql_punct("c") + " AS v_norm_punct, strip_accents(c) AS v_norm_accent_fold FROM (SELECT v, " + sql_clean("v") + " AS c FROM (VALUES " + ", ".join(f"('{v}')" for v in UNICODE_ROWS) + ") t(v))")
+def _(d: Data) -> DataFrame:
+    rows = d.spark.createDataFrame([(v,) for v in UNICODE_ROWS], "v string")
+    return normalize.exact_views(rows, "v", "v")
+
+
+@query("n1_is_missing", "SELECT v, v IS NULL OR trim(v) IN ('', 'NA', 'N/A', 'null', 'None', 'nan', 'NaN', 'NULL', 'n/a') AS is_missing FROM (VALUES (''), (' '), ('NA'), ('N/A'), ('null'), ('None'), ('n/a'), (NULL), ('nana'), ('x')) t(v)")
+def _(d: Data) -> DataFrame:
+    rows = d.spark.createDataFrame([(v,) for v in ("", " ", "NA", "N/A", "null", "None", "n/a", None, "nana", "x")], "v string")
+    return rows.select("v", normalize.is_missing(F.col("v")).alias("is_missing"))

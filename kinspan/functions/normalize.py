@@ -1,8 +1,9 @@
 """Text views for matching, as column expressions.
 
-The built-in path covers Latin text exactly; :func:`exact_views` runs the full
-Unicode definitions (NFC, case folding, removal of non-spacing marks) in an
-Arrow-batched function for the rows that hold anything else.
+:func:`exact_views` is what ingestion uses: built-in functions for ASCII texts, the
+full Unicode definitions (NFC, case folding, removal of non-spacing marks) in an
+Arrow-batched function for the others. :func:`views` is the built-in path alone;
+it is exact for ASCII and close for other Latin text.
 """
 
 from __future__ import annotations
@@ -95,16 +96,22 @@ def exact_text(value: str | None) -> tuple[str, str, str, str]:
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in VIEWS]))
 def exact_udf(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([exact_text(v) for v in values], columns=list(VIEWS))
+    codes, distinct = pd.factorize(values)
+    rows = [exact_text(v) for v in distinct]
+    return pd.DataFrame([rows[k] if k >= 0 else (None,) * len(VIEWS) for k in codes], columns=list(VIEWS))
 
 
 def exact_views(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Like :func:`views`, by the full definitions. Rows of ASCII letters take the built-in path: functions in Python are not skipped inside a condition, so the rows are split and united."""
-    plain = F.coalesce(~F.col(column).rlike(r"[^\x00-\x7f]"), F.lit(True))
-    native = views(df.where(plain), column, prefix)
-    other = df.where(~plain).withColumn("_v", exact_udf(F.col(column)))
-    other = other.withColumns({f"{prefix}_norm_{n}": F.col(f"_v.{n}") for n in VIEWS}).drop("_v")
-    return native.select(other.columns).unionByName(other)
+    """Like :func:`views`, by the full definitions. Only texts with other than ASCII characters are sent to the batched function, the rest as nulls."""
+    other = F.coalesce(F.col(column).rlike(r"[^\x00-\x7f]"), F.lit(False))
+    marked = df.withColumn("_other", other)
+    native = views(marked.withColumn("_v", exact_udf(F.when(F.col("_other"), F.col(column)))), column, prefix)
+    return native.withColumns({f"{prefix}_norm_{n}": F.when(F.col("_other"), F.col(f"_v.{n}")).otherwise(F.col(f"{prefix}_norm_{n}")) for n in VIEWS}).drop("_other", "_v")
+
+
+def is_missing(c: Column) -> Column:
+    """Null, blank, or one of the literals that a reader takes for a missing value."""
+    return c.isNull() | F.trim(c).isin(*MISSING_LITERALS)
 
 
 def match_bucket(n: Column) -> Column:

@@ -40,8 +40,17 @@ def parity(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], t
 
 
 def order_free_hash(rows: DataFrame) -> DataFrame:
-    """Row count and a hash that does not depend on the order of rows."""
-    return rows.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*rows.columns)).alias("fingerprint"))
+    """Row count and a hash that does not depend on the order of rows: the sum of the rows' hashes, so that repeated rows count."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in rows.columns]
+    row = F.conv(F.substring(F.md5(F.concat_ws(chr(31), *cells)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("fingerprint"))
+
+
+def cardinality(matches: DataFrame, candidates: DataFrame, s1: DataFrame) -> DataFrame:
+    """Rows of both outputs and of S1, and whether they are equal, one row."""
+    sizes = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in (("s1_rows", s1), ("match_rows", matches), ("candidate_rows", candidates))]
+    row = reduce(DataFrame.unionByName, sizes).groupBy().pivot("k", ["s1_rows", "match_rows", "candidate_rows"]).agg(F.first("n"))
+    return row.withColumn("equal", (F.col("s1_rows") == F.col("match_rows")) & (F.col("s1_rows") == F.col("candidate_rows")))
 
 
 def integrity(pool: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def policy_d1(flags: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def best_policy(scores: DataFrame) -> DataFrame:
-    """The policy with the highest macro_f05; of equals the first by name."""
+    """The policy with the highest macro_f05 as given (unrounded scores decide better); of equals the first by name."""
     return scores.orderBy(F.desc("macro_f05"), "policy").limit(1)
 
 

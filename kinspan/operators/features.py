@@ -111,13 +111,40 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return relative_features(df).drop("name_a", "name_b", "address_a", "address_b", "numbers_a", "numbers_b")
 
 
-EXTRA = ("address_s1_token_count", "address_cand_token_count")
+TEXT = ("exact_clean", "char_ratio", "token_set_ratio", "token_jaccard", "shared_token_count", "length_ratio", "char_length_diff", "s1_missing", "cand_missing", "both_missing")
+RELATIVE = ("{}_similarity_rank_within_s1", "{}_gap_from_best", "{}_ratio_to_best", "count_candidates_with_higher_{}_sim")
+#: What a model may see, and nothing else.
+ALLOWED = (
+    *PASSED, *[f"{p}_{n}" for p in ("name", "address") for n in TEXT], "name_s1_token_count", "name_cand_token_count",
+    "name_token_sort_ratio", "name_token_containment_s1_in_cand", "name_token_containment_cand_in_s1", "name_unmatched_token_count",
+    "numeric_s1_count", "numeric_cand_count", "shared_numeric_count_pair", "numeric_jaccard", "numeric_overlap_ratio_s1", "numeric_overlap_ratio_cand",
+    "numeric_exact_set_match", "numeric_agreement_flag", "numeric_conflict_flag", "numeric_s1_missing", "numeric_cand_missing", "numeric_both_missing",
+    "candidate_count", "count_exact_name_candidates", *[n.format(p) for n in RELATIVE for p in ("name", "address")],
+)
 
 
-def model_columns(df: DataFrame) -> list[str]:
-    """What a model may see: every feature but extras; leaks are an error."""
-    keep = [c for c in df.columns if c not in FORBIDDEN and c not in EXTRA and c != "candidate_rank"]
-    leaks = sorted(set(keep) & set(FORBIDDEN))
+def firewall(allowed: tuple[str, ...] = ALLOWED, forbidden: tuple[str, ...] = FORBIDDEN) -> None:
+    """A forbidden column on the list of allowed ones is an error."""
+    leaks = sorted(set(allowed) & set(forbidden))
     if leaks:
         raise ValueError(f"leaking columns {leaks}")
-    return keep
+
+
+firewall()
+
+
+def model_columns(df: DataFrame) -> list[str]:
+    """What a model may see of a table: the allowed columns, all of which must be there."""
+    absent = sorted(set(ALLOWED) - set(df.columns))
+    if absent:
+        raise ValueError(f"features lack {absent}")
+    return [c for c in df.columns if c in ALLOWED]
+
+
+def schema_faults(df: DataFrame) -> list[str]:
+    """Features that are absent, of a type that no model takes, or neither features, keys nor known extras."""
+    kinds = dict(df.dtypes)
+    known = {*ALLOWED, *FORBIDDEN, "address_s1_token_count", "address_cand_token_count", "candidate_rank"}
+    out = [f"absent: {c}" for c in ALLOWED if c not in kinds]
+    out += [f"type of {c}: {kinds[c]}" for c in ALLOWED if c in kinds and kinds[c] not in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    return out + [f"unknown: {c}" for c in kinds if c not in known]

@@ -123,3 +123,50 @@ def collisions(rows: DataFrame, keys: list[str]) -> DataFrame:
     q = F.percentile(n, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     row = counts.agg(F.count("*").alias("keys"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), F.count_if(n.between(3, 5)).alias("from_3_to_5"), F.count_if(n.between(6, 10)).alias("from_6_to_10"), F.count_if(n > 10).alias("over_10"), q.alias("q"), F.max(n).alias("most"))
     return row.withColumns({f"p{p}": F.round(F.get("q", i), 6) for i, p in enumerate((50, 95, 99))}).drop("q")
+
+
+def volume_summary(counts: DataFrame) -> DataFrame:
+    """Mean, median and greatest number of candidates over all S1, and the shares with 0, 1, over 1 and over 10, one row."""
+    n = F.col("n_pred")
+    share = lambda cond, name: F.round(F.avg(cond.cast("double")), 6).alias(name)
+    return counts.agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.percentile(n, F.lit(0.5)), 6).alias("median"), F.max(n).alias("most"), share(n == 0, "share_0"), share(n == 1, "share_1"), share(n > 1, "share_over_1"), share(n > 10, "share_over_10"))
+
+
+def truth_places(pool: DataFrame, truth: DataFrame, profile: DataFrame, order=RANKING) -> DataFrame:
+    """Every true pair with its rank (null where not retrieved), its S1's country, match bucket and source pattern, and its source."""
+    placed = ranked(pool, order).select("entity_id_s1", "entity_id_cand", "candidate_rank")
+    marks = profile.select(F.col("entity_id").alias("entity_id_s1"), "country", "match_bucket", "source_pattern")
+    return truth.distinct().join(placed, ["entity_id_s1", "entity_id_cand"], "left").join(marks, "entity_id_s1").withColumn("source", F.substring_index("entity_id_cand", "-", 1))
+
+
+def sliced_frontier(pool: DataFrame, truth: DataFrame, profile: DataFrame, slices: tuple[str, ...] = ("country", "match_bucket", "source"), budgets: tuple[int, ...] = BUDGETS) -> DataFrame:
+    """Recall at each budget (0: without one) over all and by each slice of the true pairs."""
+    each = truth_places(pool, truth, profile).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in (*budgets, 0)])))
+    found = F.coalesce((F.col("budget") == 0) & F.col("candidate_rank").isNotNull() | (F.col("candidate_rank") <= F.col("budget")), F.lit(False))
+    sets = [["budget"], *[["budget", c] for c in slices]]
+    return each.groupingSets(sets, "budget", *slices).agg(F.count("*").alias("gt_pairs"), F.round(F.avg(found.cast("double")), 6).alias("recall"))
+
+
+def recall_by_profile(pool: DataFrame, truth: DataFrame, profile: DataFrame, most: int = 15) -> DataFrame:
+    """Recall of the pruned pool by source pattern and by match bucket."""
+    hit = F.coalesce(F.col("candidate_rank") <= most, F.lit(False)).cast("double")
+    rows = truth_places(pool, truth, profile)
+    return rows.groupingSets([["source_pattern"], ["match_bucket"]], "source_pattern", "match_bucket").agg(F.count("*").alias("gt_pairs"), F.round(F.avg(hit), 6).alias("recall"))
+
+
+def lost_to_pruning(pool: DataFrame, truth: DataFrame, most: int = 15) -> DataFrame:
+    """True pairs in the pool and in the pruned pool, and their difference, one row."""
+    placed = ranked(pool).join(truth.distinct(), ["entity_id_s1", "entity_id_cand"], "left_semi")
+    row = placed.agg(F.count("*").alias("in_pool"), F.count_if(F.col("candidate_rank") <= most).alias("in_pruned"))
+    return row.withColumn("lost", F.col("in_pool") - F.col("in_pruned"))
+
+
+def coverage_by_sources(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Share of S1 all of whose true pairs were found: of those in S2, in S3, and of S1 with true pairs in both."""
+    found = pairs.select("entity_id_s1", "entity_id_cand", F.lit(1).alias("hit")).distinct()
+    true = truth.distinct().withColumn("source", F.substring_index("entity_id_cand", "-", 1))
+    per = true.join(found, ["entity_id_s1", "entity_id_cand"], "left").groupBy("entity_id_s1").agg(*[F.count_if((F.col("source") == s) & extra).alias(f"{n}{s}") for s in ("S2", "S3") for n, extra in (("t", F.lit(True)), ("h", F.col("hit").isNotNull()))])
+    full = lambda s: F.col(f"t{s}") == F.col(f"h{s}")
+    share = lambda some, ok, name: F.round(F.avg(F.when(some, ok.cast("double"))), 6).alias(name)
+    two, three = F.col("tS2") > 0, F.col("tS3") > 0
+    return per.agg(share(two, full("S2"), "s2_full_coverage"), share(three, full("S3"), "s3_full_coverage"), share(two & three, full("S2") & full("S3"), "both_full_coverage"))

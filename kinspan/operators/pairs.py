@@ -12,7 +12,7 @@ KEY = ("entity_id_s1", "candidate_source", "entity_id_cand")
 
 def labelled(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """label 1 for true pairs; an S1 without truth has none. No candidate is added or lost."""
-    hits = truth.select("entity_id_s1", "entity_id_cand", F.lit(1).alias("label"))
+    hits = truth.select("entity_id_s1", "entity_id_cand").distinct().withColumn("label", F.lit(1))
     return candidates.join(hits, ["entity_id_s1", "entity_id_cand"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
@@ -57,6 +57,17 @@ def retrieval_audit(manifest: DataFrame) -> DataFrame:
     return grouped
 
 
+def audit_by_source(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Pair recall, any and full coverage of the S1 with truth in a source, source by source."""
+    true = truth.select("entity_id_s1", "entity_id_cand", F.substring_index("entity_id_cand", "-", 1).alias("source")).distinct()
+    found = pairs.where(F.col("label") == 1).select("entity_id_s1", "entity_id_cand", F.lit(1).alias("hit")).distinct()
+    per = true.join(found, ["entity_id_s1", "entity_id_cand"], "left").groupBy("source", "entity_id_s1").agg(F.count("*").alias("t"), F.count("hit").alias("h"))
+    return per.groupBy("source").agg(
+        F.count("*").alias("entities"), F.sum("t").alias("gt_pairs"), F.round(F.sum("h") / F.sum("t"), 6).alias("pair_recall"),
+        F.round(F.avg((F.col("h") > 0).cast("double")), 6).alias("any_coverage"), F.round(F.avg((F.col("h") == F.col("t")).cast("double")), 6).alias("full_coverage"),
+    )
+
+
 def label_distribution(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Pairs, positives, their rate, and how many true pairs were missed."""
     totals = pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("label"), F.lit(0)).alias("positives"))
@@ -98,6 +109,26 @@ def match_profile(s1: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.select("entity_id", "country", F.size(listed).alias("n_true_matches"), normalize.match_bucket(F.size(listed)).alias("match_bucket"), normalize.source_pattern(listed).alias("source_pattern"))
 
 
+HASH_DIGITS = 2
+
+
+def hash_places(rows: DataFrame, strata: list[str], seed: int) -> DataFrame:
+    """Adds ``place``, a row's number from 1 in its stratum's hash order, and ``n``, the stratum's size.
+
+    A stratum may hold most rows, so tasks order buckets of it (the first digits
+    of the hash) and a table of bucket sizes, a row per stratum and bucket, says
+    how many rows come before.
+    """
+    marked = rows.withColumn("_hash", hash_order(seed)).withColumn("_bucket", F.substring("_hash", 1, HASH_DIGITS))
+    sizes = marked.groupBy(*strata, "_bucket").agg(F.count("*").alias("_size"))
+    w = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_size").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_before": before, "n": F.sum("_size").over(w)}).drop("_size")
+    inner = F.row_number().over(Window.partitionBy(*strata, "_bucket").orderBy("_hash", "entity_id"))
+    joined = marked.withColumn("_inner", inner).alias("x").join(sizes.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*strata, "_bucket")])
+    return joined.select(*[F.col(f"x.`{c}`") for c in rows.columns], (F.col("x._inner") + F.col("y._before")).alias("place"), F.col("y.n").alias("n"))
+
+
 def stratified_folds(profile: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """A fold per S1, the strata balanced within one.
 
@@ -107,9 +138,8 @@ def stratified_folds(profile: DataFrame, k: int = 5, seed: int = 42) -> DataFram
     by_both = profile.groupBy("country", "match_bucket").count().agg(F.min("count").alias("n"))
     by_country = profile.groupBy("country").count().agg(F.min("count").alias("n"))
     stratum = F.when(by_both.scalar() >= k, F.concat_ws("|", "country", "match_bucket")).when(by_country.scalar() >= k, F.col("country")).otherwise(F.lit("ALL"))
-    rows = profile.withColumn("stratum", stratum)
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(seed), "entity_id"))
-    return rows.withColumn("fold_id", ((place - 1) % k).cast("int")).drop("stratum")
+    rows = hash_places(profile.withColumn("stratum", stratum), ["stratum"], seed)
+    return rows.withColumn("fold_id", ((F.col("place") - 1) % k).cast("int")).drop("stratum", "place", "n")
 
 
 def fold_violations(folds: DataFrame, k: int) -> DataFrame:
@@ -124,10 +154,15 @@ def fold_violations(folds: DataFrame, k: int) -> DataFrame:
 
 def split(rows: DataFrame, fraction: float = 0.2, seed: int = 42, strata: tuple[str, ...] = ("country",)) -> DataFrame:
     """Adds ``part``: validation for the first round(fraction * n) of each stratum in hash order, else train."""
-    w = Window.partitionBy(*strata)
-    place = F.row_number().over(w.orderBy(hash_order(seed), "entity_id"))
-    n = F.count("*").over(w)
-    return rows.withColumn("part", F.when(place <= F.floor(n * fraction + 0.5), "validation").otherwise("train"))
+    placed = hash_places(rows, list(strata), seed)
+    return placed.withColumn("part", F.when(F.col("place") <= F.floor(F.col("n") * fraction + 0.5), "validation").otherwise("train")).drop("place", "n")
+
+
+def sized_sample(rows: DataFrame, stratum: str, size: int, seed: int = 42) -> DataFrame:
+    """The first min(n, floor(size * share)) of each stratum in hash order, share being the stratum's part of all rows."""
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    placed = hash_places(rows, [stratum], seed).withColumn("_all", total)
+    return placed.where(F.col("place") <= F.least(F.col("n"), F.floor(F.lit(size) * F.col("n") / F.col("_all")))).drop("place", "n", "_all")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, fraction: float, seed: int = 42) -> DataFrame:

@@ -89,29 +89,45 @@ def document_frequency(records: DataFrame, column: str) -> DataFrame:
     return token_rows(records, column).groupBy("source", "country", "token").agg(F.count("*").alias("df"))
 
 
-def shared_tokens(records: DataFrame, column: str, most: int, rarest: int | None) -> DataFrame:
-    """Pairs by words with df in 1..most, of which each S1 record uses its ``rarest`` per source (all if None)."""
-    rows = token_rows(records, column)
-    targets = rows.where(F.col("source") != "S1")
-    df = targets.groupBy("source", "country", "token").agg(F.count("*").alias("df")).where(F.col("df") <= most)
-    s1 = rows.where(F.col("source") == "S1").select("country", "token", F.col("entity_id").alias("entity_id_s1")).join(df, ["country", "token"])
+def token_index(targets: DataFrame, column: str, most: int) -> DataFrame:
+    """(source, country, token, df, entity_id_cand): the postings of the targets' words with df in 1..most."""
+    rows = token_rows(targets, column)
+    df = rows.groupBy("source", "country", "token").agg(F.count("*").alias("df")).where(F.col("df") <= most)
+    return rows.withColumnRenamed("entity_id", "entity_id_cand").join(df, ["source", "country", "token"])
+
+
+def token_search(s1: DataFrame, index: DataFrame, column: str, rarest: int | None) -> DataFrame:
+    """Pairs by indexed words, of which each S1 record uses its ``rarest`` per source (all if None)."""
+    rows = token_rows(s1, column).select("country", "token", F.col("entity_id").alias("entity_id_s1"))
     if rarest is not None:
+        df = index.groupBy("source", "country", "token").agg(F.first("df").alias("df"))
         order = Window.partitionBy("entity_id_s1", "source").orderBy("df", "token")
-        s1 = s1.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rarest).drop("place")
-    hits = s1.join(targets.withColumnRenamed("entity_id", "entity_id_cand"), ["source", "country", "token"])
+        rows = rows.join(df, ["country", "token"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= rarest).select("source", "country", "token", "entity_id_s1")
+    hits = rows.join(index, [c for c in ("source", "country", "token") if c in rows.columns])
     return hits.groupBy("entity_id_s1", "entity_id_cand", F.col("source").alias("candidate_source")).agg(F.count("*").cast("int").alias("shared"), F.min("df").cast("int").alias("least_df"))
 
 
-def rare_token_pairs(records: DataFrame, most: int = 10, rarest: int = 3) -> DataFrame:
-    found = shared_tokens(records, "name_norm_clean", most, rarest)
+def shared_tokens(records: DataFrame, column: str, most: int, rarest: int | None) -> DataFrame:
+    """Pairs by words with df in 1..most, of which each S1 record uses its ``rarest`` per source (all if None)."""
+    return token_search(queries_of(records), token_index(targets_of(records), column, most), column, rarest)
+
+
+def rare_evidence(found: DataFrame) -> DataFrame:
     return found.withColumnsRenamed({"shared": "rare_token_overlap_count", "least_df": "rarest_shared_token_df"})
 
 
-def numeric_pairs(records: DataFrame, most: int = 50) -> DataFrame:
-    found = shared_tokens(records, "addr_numeric_tokens", most, None)
+def numeric_evidence(found: DataFrame) -> DataFrame:
     return found.select(*PAIR, F.col("shared").alias("shared_numeric_count"), F.lit(0).alias("numeric_conflict"))
 
 
+def rare_token_pairs(records: DataFrame, most: int = 10, rarest: int = 3) -> DataFrame:
+    return rare_evidence(shared_tokens(records, "name_norm_clean", most, rarest))
+
+
+def numeric_pairs(records: DataFrame, most: int = 50) -> DataFrame:
+    return numeric_evidence(shared_tokens(records, "addr_numeric_tokens", most, None))
+
+
 def word_terms(view: Column) -> Column:
     """Words of two characters or more and their bigrams."""
     words = F.regexp_extract_all(F.lower(view), F.lit(TERM), F.lit(1))
@@ -139,44 +155,75 @@ def char_terms(view: Column, shortest: int = 3, longest: int = 4) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
-def tfidf_pairs(records: DataFrame, column: str, k: int = 5, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None, zero_based: bool = False) -> DataFrame:
-    """The k most similar targets per S1 record and target source under TF-IDF cosine.
-
-    Weights are fitted on the targets of a source and country: (1 + ln tf) times
-    ln((1 + n) / (1 + df)) + 1, length one. S1 terms unknown there are dropped.
-    Scores are rounded to nine digits before they rank; ties go by id.
-    """
+def term_counts(records: DataFrame, column: str, terms=word_terms) -> DataFrame:
+    """(source, country, entity_id, term, n) of the records whose view is not empty."""
     filled = records.where(F.coalesce(F.col(column), F.lit("")) != "")
-    tf = filled.select("source", "country", "entity_id", F.explode(terms(F.col(column))).alias("term")).groupBy("source", "country", "entity_id", "term").agg(F.count("*").alias("n"))
-    targets, s1 = tf.where(F.col("source") != "S1"), tf.where(F.col("source") == "S1").drop("source")
-    total = targets_of(filled).groupBy("source", "country").agg(F.count("*").alias("docs"))
-    df = targets.groupBy("source", "country", "term").agg(F.count("*").alias("df"), F.sum("n").alias("all_n"))
+    return filled.select("source", "country", "entity_id", F.explode(terms(F.col(column))).alias("term")).groupBy("source", "country", "entity_id", "term").agg(F.count("*").alias("n"))
+
+
+def unit_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """TF-IDF weights, each record of length one: (1 + ln n) * idf."""
+    w = counts.join(idf, [c for c in ("source", "country", "term") if c in counts.columns]).withColumn("w", (1.0 + F.log(F.col("n"))) * F.col("idf"))
+    return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("source", "entity_id")))).select("source", "country", "term", "entity_id", "w")
+
+
+def tfidf_index(targets: DataFrame, column: str, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source, country, term, idf) and the targets' weights, fitted on the targets of a source and country: idf = ln((1 + n) / (1 + df)) + 1."""
+    counts = term_counts(targets, column, terms)
+    total = targets.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("source", "country").agg(F.count("*").alias("docs"))
+    df = counts.groupBy("source", "country", "term").agg(F.count("*").alias("df"), F.sum("n").alias("all_n"))
     df = df.join(total, ["source", "country"]).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
     if max_terms is not None:
         order = Window.partitionBy("source", "country").orderBy(F.desc("all_n"), "term")
         df = df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_terms)
     idf = df.select("source", "country", "term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    return idf, unit_weights(counts, idf).withColumnsRenamed({"entity_id": "entity_id_cand", "w": "wt"})
 
-    def weighted(rows: DataFrame) -> DataFrame:
-        w = rows.join(idf, [c for c in ("source", "country", "term") if c in rows.columns]).withColumn("w", (1.0 + F.log(F.col("n"))) * F.col("idf"))
-        return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("source", "entity_id")))).select("source", "country", "term", "entity_id", "w")
 
-    q = weighted(s1).withColumnsRenamed({"entity_id": "entity_id_s1", "w": "wq"})
-    t = weighted(targets).withColumnsRenamed({"entity_id": "entity_id_cand", "w": "wt"})
-    scores = q.join(t, ["source", "country", "term"]).groupBy("entity_id_s1", "entity_id_cand", F.col("source").alias("candidate_source")).agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("score"))
+def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame], column: str, k: int = 5, terms=word_terms, zero_based: bool = False) -> DataFrame:
+    """The k most similar targets of an index per S1 record and target source.
+
+    S1 terms unknown there are dropped. Scores are rounded to nine digits before
+    they rank; ties go by id.
+    """
+    idf, weights = index
+    q = unit_weights(term_counts(s1, column, terms).drop("source"), idf).withColumnsRenamed({"entity_id": "entity_id_s1", "w": "wq"})
+    scores = q.join(weights, ["source", "country", "term"]).groupBy("entity_id_s1", "entity_id_cand", F.col("source").alias("candidate_source")).agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("score"))
     order = Window.partitionBy("entity_id_s1", "candidate_source").orderBy(F.desc("score"), "entity_id_cand")
     ranked = scores.where(F.col("score") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("rank", F.col("rank") - 1) if zero_based else ranked
 
 
+def tfidf_pairs(records: DataFrame, column: str, k: int = 5, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None, zero_based: bool = False) -> DataFrame:
+    """The k most similar targets per S1 record and target source under TF-IDF cosine."""
+    return tfidf_search(queries_of(records), tfidf_index(targets_of(records), column, terms, min_df, max_df, max_terms), column, k, terms, zero_based)
+
+
 def channel(df: DataFrame, flag: str, renames: dict[str, str] | None = None) -> DataFrame:
     return df.withColumnsRenamed(renames or {}).withColumn(flag, F.lit(1))
 
 
-def union_evidence(channels: list[DataFrame]) -> DataFrame:
-    """One row per pair: flags and scores by their greatest, ranks and df by their least, defaults where a channel is silent."""
-    if not channels:
-        raise ValueError("no channels")
+def no_pairs(spark) -> DataFrame:
+    """An empty channel."""
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in PAIR))
+
+
+#: Fixed types of a stored pool.
+STORED = {
+    **dict.fromkeys((*CHANNELS, *FLAGS, "numeric_conflict", "retrieval_channel_count"), "tinyint"),
+    **dict.fromkeys(("name_word_rank", "address_word_rank", "rare_token_overlap_count", "shared_numeric_count"), "smallint"),
+    **dict.fromkeys(("name_word_score", "address_word_score"), "float"), "rarest_shared_token_df": "int",
+}
+
+
+def downcast(union: DataFrame) -> DataFrame:
+    """The union with the types in which it is stored."""
+    return union.withColumns({c: F.col(c).cast(t) for c, t in STORED.items() if c in union.columns})
+
+
+def union_evidence(channels: list[DataFrame], spark=None) -> DataFrame:
+    """One row per pair: flags and scores by their greatest, ranks and df by their least, defaults where a channel is silent. Without channels, no rows."""
+    channels = channels or [no_pairs(spark)]
     together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), channels)
     absent = {c: F.lit(None).cast("double" if isinstance(v, float) else "int") for c, v in DEFAULTS.items() if c not in together.columns}
     together = together.withColumns(absent) if absent else together

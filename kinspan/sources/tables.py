@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinspan.functions import normalize
+from kinspan.operators import audits
 
 SOURCE = T.StructType([T.StructField(c, T.StringType(), c != "entity_id") for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField("source1_entity_id", T.StringType()), T.StructField("matched_entity_ids", T.StringType())])
@@ -45,10 +46,14 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
 def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A folder of shards as one table, checked against its contract; hidden and temporary files are skipped."""
     df = spark.read.parquet(path)
-    missing = [f.name for f in schema if f.name not in df.columns]
+    found = {f.name: f.dataType for f in df.schema}
+    missing = [f.name for f in schema if f.name not in found]
     if missing:
         raise ValueError(f"shards lack {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    wrong = [f"{f.name}: {found[f.name].simpleString()} for {f.dataType.simpleString()}" for f in schema if found[f.name] != f.dataType]
+    if wrong:
+        raise ValueError(f"shards hold {wrong}")
+    return df.select(*[f.name for f in schema])
 
 
 def read_ids(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -57,9 +62,11 @@ def read_ids(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return df.select(F.col(df.columns[0]).alias("entity_id")).distinct()
 
 
-def read_folds(spark: SparkSession, path: str) -> DataFrame:
-    """A fold manifest; a repeated or null id is an error when the rows are read."""
+def read_folds(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
+    """A fold manifest; a repeated or null id is an error when the rows are read, another fingerprint than the given one before."""
     df = spark.read.parquet(path)
+    if fingerprint is not None and audits.order_free_hash(df).first()["fingerprint"] != fingerprint:
+        raise ValueError("fold manifest: its rows are not those of the fingerprint")
     n = F.count("*").over(_by("source1_entity_id"))
     bad = (n > 1) | F.col("source1_entity_id").isNull() | F.col("fold_id").isNull()
     return df.withColumn("fold_id", F.when(bad, F.raise_error(F.lit("fold manifest: repeated or null id"))).otherwise(F.col("fold_id")))
@@ -96,8 +103,11 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def contract(df: DataFrame, categories: dict[str, str]) -> str:
-    """The schema as JSON, each field with its category: A inference, B target, C diagnostic."""
-    fields = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable, "category": categories.get(f.name, "A")} for f in df.schema]
+    """The schema as JSON, each field with its category: A inference, B target, C diagnostic. A field without one is an error."""
+    unknown = [c for c in df.columns if categories.get(c) not in ("A", "B", "C")]
+    if unknown:
+        raise ValueError(f"no category for {unknown}")
+    fields = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable, "category": categories[f.name]} for f in df.schema]
     return json.dumps({"version": 1, "fields": fields}, indent=1)
 
 
@@ -109,13 +119,13 @@ def entity_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.concat_ws("-", source, F.col("doc_id").cast("string")).alias("entity_id"), source.alias("source"), F.col("lang").alias("country"),
         F.array_join(F.slice(words, 1, 6), " ").alias("business_name"), F.array_join(F.slice(words, 7, 10), " ").alias("business_address"),
-        normalize.numeric_tokens(F.col("text")).alias("addr_numeric_tokens"), F.md5("text").alias("truth_key"),
+        normalize.numeric_tokens(F.col("text")).alias("addr_numeric_tokens"), F.when(F.size(words) >= 18, F.md5(F.concat("lang", F.lit(" "), F.array_join(F.slice(words, 17, 2), " ")))).alias("truth_key"),
     )
 
 
 def normalized(entities: DataFrame) -> DataFrame:
-    """Name and address views of every record."""
-    return normalize.views(normalize.views(entities, "business_name", "name"), "business_address", "addr")
+    """Name and address views of every record, by the full Unicode definitions."""
+    return normalize.exact_views(normalize.exact_views(entities, "business_name", "name"), "business_address", "addr")
 
 
 def process_sources(raw: dict[str, DataFrame]) -> DataFrame:
