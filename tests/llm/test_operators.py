@@ -2,9 +2,11 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinspan.llm import chat, embedding_dedup, fingerprints, jaccard_join, mixing, quality, suffix_arrays, suffix_dedup, textcore, toxicity
 from kinspan.llm.components import connected_components
@@ -45,13 +47,42 @@ def test_suffix_array_against_sorting():
     assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tobytes())
 
 
-def test_repeat_counts_by_suffix_array():
+def test_longest_repeats_by_suffix_order():
     rng = random.Random(2)
-    for length in (1, 3):
-        data = [np.array([rng.randint(0, 2) for _ in range(rng.randint(0, 15))]) for _ in range(6)]
-        seen = [tuple(r[i : i + length]) for r in data for i in range(len(r) - length + 1)]
-        want = [[seen.count(tuple(r[i : i + length])) if i + length <= len(r) else 0 for i in range(len(r))] for r in data]
-        assert [x.tolist() for x in suffix_arrays.repeat_counts(data, length)] == want
+    for _ in range(200):
+        data = [np.array([rng.randint(0, 2) for _ in range(rng.randint(0, 15))], np.int64) for _ in range(6)]
+        width = [3, 1, 5]
+        got = suffix_arrays.longest_repeats(data, [np.array([width[x] for x in r], np.int64) for r in data])
+        seen = Counter(tuple(r[i:j]) for r in data for i in range(len(r)) for j in range(i + 1, len(r) + 1))
+        for r, own in zip(data, got):
+            assert own.tolist() == [max((sum(width[x] for x in r[i:j]) for j in range(i + 1, len(r) + 1) if seen[tuple(r[i:j])] > 1), default=0) for i in range(len(r))]
+
+
+def test_windows_that_runs_of_an_anchor_share():
+    rng = random.Random(3)
+    for trial in range(60):
+        length, gram = 24, 6
+        anchor = bytes(rng.choice(b"ab") for _ in range(gram))
+        group, lead, bodies = [], [], []
+        for g in range(rng.randint(1, 4)):
+            base = [bytes(rng.choice(b"xyz\x00") for _ in range(length - gram)) for _ in range(2)]
+            for _ in range(rng.randint(1, 7)):
+                sides = [bytearray(x) for x in base]
+                for _ in range(rng.randint(0, 3)):
+                    sides[rng.randint(0, 1)][rng.randrange(length - gram)] = rng.choice(b"xyz")
+                a, b = rng.randint(0, length - gram), rng.randint(0, length - gram)
+                if a + b < length - gram:
+                    continue
+                group.append(g)
+                lead.append(a)
+                bodies.append(bytes(sides[0][length - gram - a :]) + anchor + bytes(sides[1][:b]))
+        if not group:
+            continue
+        group = np.unique(group, return_inverse=True)[1]
+        seen = Counter((g, i - a, w) for g, a, t in zip(group, lead, bodies) for i in range(len(t) - length + 1) for w in [t[i : i + length]])
+        want = {(k, i) for k, (g, a, t) in enumerate(zip(group, lead, bodies)) for i in range(min(a, len(t) - length) + 1) if seen[g, i - a, t[i : i + length]] > 1}
+        run, byte, count = suffix_dedup.repeated_in_runs(np.array(group), np.array(lead), bodies, length)
+        assert {(k, i) for k, a, n in zip(run.tolist(), byte.tolist(), count.tolist()) for i in range(a, a + n)} == want
 
 
 @pytest.mark.parametrize("length,gram", [(200, 50), (40, 10)])
@@ -74,6 +105,58 @@ def test_suffix_dedup(spark, rows, docs, length, gram):
             assert any(gone == w[1] and size == w[0] for w in want)
 
 
+def near_copies(n=40, seed=6):
+    """Near copies in which windows at the edges of equal parts repeat, a common line in many contexts, a long text and clashing columns."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    base = [word() for _ in range(220)]
+    line = " ".join(word() for _ in range(36))
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = word()
+        out.append((i, " ".join(words), "k", 7))
+    out += [(100 + i, f"{word()} {word()} {line} {word()} {word()}", "k", 7) for i in range(n)]
+    out.append((500, " ".join(word() for _ in range(3000)) + " " + " ".join(base), "k", 7))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1024, 12, 1])
+def test_suffix_dedup_of_near_copies(spark, crowd):
+    data = near_copies()
+    df = spark.createDataFrame(data, "doc_id long, text string, _key string, text_hash int").repartition(6)
+    spans = suffix_dedup.repeated_spans(df, 200, 50, crowd)
+    got = {r["row"]["doc_id"]: r for r in suffix_dedup.with_spans(df, spans).collect()}
+    for (k, text, _, _), want in zip(data, brute.repeats([r[1] for r in data], 200)):
+        found = got[k]["_spans"]
+        assert (int(suffix_dedup.removed_mask(len(text), *suffix_dedup.span_arrays(found), 200).sum()) if found else 0) == want[1]
+    if crowd == 1024:
+        kept = suffix_dedup.without_repeats(df)
+        assert kept.columns == df.columns and {(r["_key"], r["text_hash"]) for r in kept.collect()} == {("k", 7)}
+
+
+def test_repeats_need_the_suffix_order(spark, monkeypatch):
+    """With suffixes out of order, windows that only parts of runs share are missed."""
+    groups = [("x" * 40 + "anchor" + "y" * 60).encode(), ("z" * 20 + "x" * 20 + "anchor" + "y" * 60).encode(), ("w" * 40 + "anchor" + "y" * 60).encode()]
+    args = np.zeros(3, np.int64), np.full(3, 40), groups, 70
+    assert suffix_dedup.repeated_in_runs(*args)[2].sum() > 0
+    right = suffix_arrays.suffix_array
+    monkeypatch.setattr(suffix_arrays, "suffix_array", lambda s: np.sort(right(s)))
+    assert suffix_dedup.repeated_in_runs(*args)[2].sum() == 0
+
+
+def test_runs_across_the_steps_of_a_long_text():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    offs = np.array([0, 1500, 1500, 1600, 5000])
+    whole, steps = (suffix_dedup.anchor_runs(data, offs, 200, 50, k) for k in (1 << 19, 700))
+    for row, start, windows, lead, _, _ in zip(*steps):
+        assert start + lead <= start + windows - 1 + 150 and 0 <= lead <= 150
+    covered = [{(r, s + i) for r, s, w in zip(*x[:3]) for i in range(w)} for x in (whole, steps)]
+    assert covered[0] == covered[1] == {(k, i) for k in range(4) for i in range(offs[k + 1] - offs[k] - 199)}
+
+
 def test_texts_stay_valid_after_the_cut(spark, docs):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -94,6 +177,25 @@ def test_jaccard_join(spark, rows, docs):
     assert {r["doc_id"] for r in kept.collect()} == {None, *want.values()}
 
 
+def test_jaccard_join_of_repeated_doc_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{k}{rng.randint(0, 999)}" for _ in range(40)) for k in "abc")
+    near_a = a + " more"
+    data = [(3, a), (7, a), (7, b), (9, b)]
+    got = jaccard_join.op5_ngram_jaccard_join(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(3, 3), (7, 3), (9, 3)} and len(got) == 4
+    data += [(2, near_a), (3, c), (8, c), (3, None), (8, c + " and so on"), (None, a), (20, ""), (3, a)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, _gone int, text_hash string")
+    got = jaccard_join.op5_ngram_jaccard_join(spark, df).collect()
+    want = brute.jaccard_components(data)
+    links = [(3, k) for k in (7, 8)] + [(7, 9)]
+    want = brute.components(list(want), [*want.items(), *links])
+    assert all(r["component_id"] == want.get(r["doc_id"]) for r in got) and len(got) == len(data)
+    kept = jaccard_join.one_of_each_group(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(2, near_a), (7, b), (3, c), (3, None), (None, a), (20, "")], key=str)
+
+
 def test_jaccard_join_of_many_near_copies(spark):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(80)]
@@ -193,6 +295,23 @@ def test_fingerprints(spark, rows, docs):
     assert fingerprints.op4_fingerprints(spark, docs.where("doc_id = 1")).first()["near_next"] == 1.0
 
 
+def test_every_column_of_fingerprints(spark, rows, docs):
+    held = brute.lexicon([r[1] for r in rows])
+    assert held
+    ids = sorted({r[0] for r in rows}, key=lambda i: (i is not None, i or 0))
+    first = {i: min(r[1] or "" for r in rows if r[0] == i) for i in ids}
+    want = []
+    for i, text, *_ in rows:
+        text, following = text or "", first[ids[(ids.index(i) + 1) % len(ids)]]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        own, other, after = (brute.fingerprint(t, held) for t in (text, edited, following))
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, brute.likeness(own, other), brute.likeness(own, after)))
+    got = [tuple(r) for r in fingerprints.op4_fingerprints(spark, docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({w[5] for w in want}) > 5
+
+
 @pytest.mark.parametrize("edits", [0, 2])
 def test_fingerprints_in_a_large_group(spark, edits):
     rng = random.Random(12)
@@ -231,6 +350,27 @@ def test_quality(spark):
     assert quality.op2_quality_classifier(spark, docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("share", [None, 0.5])
+def test_quality_against_a_plain_version(spark, share):
+    rng = random.Random(16)
+    data = [(i, " ".join(rng.choice("abcdefgh" if i % 4 else "uvwxyzab") + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    data += [(700, None), (None, data[3][1]), (5, data[5][1])]
+    labels = [(i, int(i % 4 != 0)) for i in range(0, 300, 3)]
+    docs, marks = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    known = quality.label_sample(marks, "quality", 20_000).collect()
+    assert {r["doc_id"]: r["is_good"] for r in known} == dict(labels) and 30 < sum(r["fitted"] for r in known) < 70
+    want = sorted(((i, w, k) for (i, _), (w, k, taken) in zip(data, brute.resampled(data, dict(labels), share)) if taken), key=str)
+    if share is None:
+        got = quality.op2_quality_classifier(spark, docs, marks)
+    else:
+        sampler, weights = quality.sampler(docs, marks, share=share)
+        got = weights.where(F.col("sample_key") >= sampler.limit).select("doc_id", "log_weight", "sample_key")
+    got = sorted(got.collect(), key=str)
+    assert sorted(str(r[0]) for r in got) == sorted(str(w[0]) for w in want) and 100 < len(want) < 303
+    wanted = {(w[0], round(w[2], 6)): w[1] for w in want}
+    assert all(math.isclose(r[1], wanted[r[0], round(r[2], 6)], abs_tol=1e-9) for r in got)
+
+
 def test_kth_largest(spark):
     values = [random.Random(7).gauss(0, 50) for _ in range(500)] + [3.0] * 20
     keys = spark.createDataFrame([(v,) for v in values], "key double")
@@ -289,6 +429,72 @@ def test_toxicity_indexes_rare_terms(spark):
         assert len(got[i]["evidence"]) == min(15, sum(bool(x & set(t.split())) for x in sets.values()))
 
 
+def test_every_score_of_toxicity(spark):
+    """Neighbours, votes and calibration in plain Python over all terms."""
+    rng = random.Random(15)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    data = [(i, " ".join([f"t{rng.randint(0, 60)}" for _ in range(rng.randint(6, 25))] + ["foul"] * rng.randint(0, 2) * (i % 4 == 0))) for i in range(160)]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 160) if i % 5 < 4]
+    data += [(700, None), (701, "unseen words"), (702, "!!"), (703, "!?")]
+    labels += [(702, 0), (8, 0)]
+    got = {r["doc_id"]: r for r in toxicity.op9_toxicity(spark, spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    kinds = defaultdict(set)
+    for i, k in labels:
+        kinds[i].add(k)
+    toxic = {i: min(k) for i, k in kinds.items() if len(k) == 1 and fold(i)}
+    bags = {i: Counter((t or "").replace("!", " ").replace("?", " ").split()) for i, t in data}
+    vocabulary = {w for i in toxic for w in bags[i]}
+    df = Counter(w for b in bags.values() for w in b)
+    n_pos, n = sum(toxic.values()), len(toxic)
+
+    def g2(word):
+        a = sum(word in bags[i] and toxic[i] == 1 for i in toxic)
+        b = sum(word in bags[i] and toxic[i] == 0 for i in toxic)
+        cells = [(a, n_pos, a + b), (n_pos - a, n_pos, n - a - b), (b, n - n_pos, a + b), (n - n_pos - b, n - n_pos, n - a - b)]
+        return 2 * sum(o * math.log(o * n / (r * c)) for o, r, c in cells if o)
+
+    weight = {w: (math.log((1 + len(data)) / (1 + df[w])) + 1) * (1 + max(0, g2(w))) for w in vocabulary}
+
+    def unit(bag):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in bag.items() if w in vocabulary}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    examples = {i: unit(bags[i]) for i in toxic if bags[i]}
+    prior = n_pos / n
+
+    def vote(v, without=None):
+        near = sorted(((sum(x * e.get(w, 0) for w, x in v.items()), i) for i, e in examples.items() if i != without), reverse=True)
+        near = [(c, i) for c, i in near if c > 0][:15]
+        w = [c / (1.05 - min(c, 1.0)) for c, _ in near]
+        return (sum(x * toxic[i] for x, (_, i) in zip(w, near)) + 0.5 * prior) / (sum(w) + 0.5), [c for c, _ in near]
+
+    left = sorted((vote(v, i)[0], toxic[i]) for i, v in examples.items())
+    steps = []
+    for x, y in left:
+        if steps and steps[-1][0] == x:
+            steps[-1][1] += y
+            steps[-1][2] += 1
+        else:
+            steps.append([x, y, 1])
+        while len(steps) > 1 and steps[-2][1] / steps[-2][2] >= steps[-1][1] / steps[-1][2]:
+            _, y2, n2 = steps.pop()
+            steps[-1][1] += y2
+            steps[-1][2] += n2
+    bare = [toxic[i] for i in toxic if not bags[i]]
+    for i, bag in bags.items():
+        v = unit(bag)
+        if v:
+            share, cosines = vote(v)
+            want = float(np.interp(share, [s[0] for s in steps], [s[1] / s[2] for s in steps]))
+            assert np.allclose(got[i]["evidence_cosine"], cosines)
+        else:
+            want = prior if bag else (sum(bare) + 0.5 * prior) / (len(bare) + 0.5)
+            assert got[i]["evidence"] == []
+        assert math.isclose(got[i]["score"], want, abs_tol=1e-9), i
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = rng.random((700, 12)) * (rng.random((700, 12)) < 0.3)
@@ -332,6 +538,31 @@ def test_embeddings(spark):
     assert embedding_dedup.op10_embedding_dedup(spark, frame.limit(0)).count() == 0
 
 
+def test_embeddings_whose_norms_leave_the_range(spark):
+    data = [(1, [3e200, 4e200], 1), (2, [3.0, 4.0], 1), (3, [3e-200, 4e-200], 1), (4, [4.0, -3.0], 1), (5, [1.7e308, 1.7e308], 1), (6, [5e-324, 0.0], 1)]
+    got = embedding_dedup.op10_embedding_dedup(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (0, 6)}
+
+
+def test_mixture_keeps_columns_of_any_name(spark, rows):
+    df = spark.createDataFrame([(*r, i, "s", 0) for i, r in enumerate(rows)], brute.SCHEMA + ", _mix_take int, source_key string, copies int")
+    out = mixing.mixture(df)
+    plain = mixing.mixture(df.select("doc_id", "text", "source"))
+    assert out.columns == df.columns and out.count() == plain.count()
+    assert {(r["source_key"], r["copies"]) for r in out.collect()} == {("s", 0)}
+
+
+def test_long_and_tied_conversations(spark):
+    long = [(1, i, ("user", "assistant")[i % 2], f"turn {i} " + "x" * 50) for i in range(3000)]
+    tied = [(2, 0, "user", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "yes"), (2, 1, "assistant", "yes")]
+    frame = spark.createDataFrame(long + tied, "conv_id long, turn long, role string, text string")
+    got = {r["chosen_id"]: r for r in chat.op8_chat_preferences(spark, frame.repartition(7)).collect()}
+    assert got[1]["prompt"].count("<|end|>") == got[1]["n_common"] == 2999 and got[1]["rejected_id"] == 2
+    assert got[1]["rejected_completion"] == "<|assistant|>\nyes<|end|>\n"
+    assert got[2]["prompt"] == "<|user|>\na<|end|>\n<|user|>\nb<|end|>\n<|assistant|>\nyes<|end|>\n"
+    assert got[2]["chosen_loss"] == "14:17"
+
+
 TURN = "struct<role:string,text:string>"
 
 

@@ -45,6 +45,8 @@ def test_stages_in_order(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/stage{k}")
         tables.append([tuple(r) for r in docs.collect()])
     quality, jaccard, suffix, mixed, packed = tables
+    taken = brute.resampled([r[:2] for r in good + junk], {r[0]: r[1] for r in labels})
+    assert Counter(quality) == Counter(r for r, (_, _, own) in zip(good + junk, taken) if own)
     assert Counter(quality) == Counter(good)
 
     first = set(brute.jaccard_components(quality).values())
