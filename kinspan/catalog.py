@@ -932,7 +932,7 @@ def _(d: Data) -> DataFrame:
 
 
 @query("x4_relative_address_features", f"""SELECT entity_id_s1, entity_id_cand, round(sim::DOUBLE, 5) AS address_char_ratio, (rank() OVER (PARTITION BY entity_id_s1 ORDER BY sim DESC NULLS LAST))::INT AS address_rank,
-  round((max(sim) OVER w)::DOUBLE - sim::DOUBLE, 5) AS address_gap, round(CASE WHEN max(sim) OVER w > 0 THEN sim::DOUBLE / (max(sim) OVER w)::DOUBLE END, 5) AS address_ratio_to_best, (rank() OVER (PARTITION BY entity_id_s1 ORDER BY sim DESC NULLS LAST) - 1)::INT AS higher_address
+  round((max(sim) OVER w)::DOUBLE - sim::DOUBLE, 5) AS address_gap, round((CASE WHEN max(sim) OVER w > 0 THEN sim::DOUBLE / (max(sim) OVER w)::DOUBLE END)::FLOAT::DOUBLE, 5) AS address_ratio_to_best, (rank() OVER (PARTITION BY entity_id_s1 ORDER BY sim DESC NULLS LAST) - 1)::INT AS higher_address
   FROM {SQL_SIM.replace("name_norm_clean", "addr_norm_clean")} WINDOW w AS (PARTITION BY entity_id_s1)""")
 def _(d: Data) -> DataFrame:
     out = features.relative_features(features.text_features(features.text_features(features.with_texts(d.flags, d.records), "name"), "address"))
