@@ -45,7 +45,7 @@ WORDS = 5
 HEAVY_LEAST = 8
 MOST_HEAVY = 2_000_000
 COUNT_EVERY = 2_000_000
-HUB_PART = 2048
+HUB_PART = 128
 TREE = 256
 TOP = np.uint64(1 << 63)
 
@@ -115,7 +115,11 @@ def frequent_shingles(docs: DataFrame) -> Order:
     return Order(found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
 
 
-SETS = "doc_id long, n_shingles long, mark_a long, mark_b long, prefix array<long>"
+SETS = "doc_id long, text_hash long, n_shingles long, mark_a long, mark_b long, prefix array<long>"
+
+
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
 
 def shingle_table(docs: DataFrame, order) -> DataFrame:
@@ -135,9 +139,9 @@ def shingle_table(docs: DataFrame, order) -> DataFrame:
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
             marks = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), *marks, lists], names=[x.split()[0] for x in SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(sizes, pa.int64()), *marks, lists], names=[x.split()[0] for x in SETS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, SETS)
+    return with_text_hash(docs).mapInArrow(sets, SETS)
 
 
 def tree_links(hub: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
@@ -164,18 +168,19 @@ def tree_links(hub: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tested(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
-    """The (a, b) of ``pairs`` that link.
+def tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order) -> DataFrame:
+    """The (a, b) of ``pairs`` (ids of classes) that link.
 
     Hubs with many partners are split into parts, each with its own copy of the
     hub's text. Pairs meet texts in merge joins that share one exchange of the
     texts, at every size: what is shuffled grows in proportion.
     """
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    own = classes.select("id", F.col("rep").alias("doc_id"), "text_hash")
+    texts = with_text_hash(docs).where(F.col("doc_id").isNotNull())
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts"))
-    hubs = parts.hint("merge").join(texts, F.col("b") == F.col("id")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    hubs = parts.join(own, F.col("b") == F.col("id")).hint("merge").join(texts, ["doc_id", "text_hash"]).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
     spread = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
-    partners = spread.hint("merge").join(texts, F.col("a") == F.col("id")).select("b", "part", "a", "text")
+    partners = spread.join(own, F.col("a") == F.col("id")).hint("merge").join(texts, ["doc_id", "text_hash"]).select("b", "part", "a", "text")
     rows = hubs.union(partners).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,20 +224,32 @@ def reaches(shared, n_a, n_b):
     return 9 * (shared + after) >= 4 * (n_a + n_b)
 
 
-def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The shingle table; (mark_a, mark_b, n_shingles, rep) of every class; (id, component) of linked classes."""
+def classes_of(full: DataFrame) -> DataFrame:
+    """A row for each different set: its marks and size, the smallest document that has it, and an id.
+
+    The id is that document's, or for all but one of the sets that a repeated doc_id stands for, a hash.
+    """
+    classes = full.groupBy("mark_a", "mark_b", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    classes = classes.select("mark_a", "mark_b", "n_shingles", F.col("one.doc_id").alias("rep"), F.col("one.text_hash").alias("text_hash"))
+    several = classes.groupBy("rep").agg(F.count("*").alias("n"), F.min("text_hash").alias("low")).where(F.col("n") > 1).select("rep", "low")
+    other = F.col("low").isNotNull() & (F.col("text_hash") != F.col("low"))
+    return classes.join(several, "rep", "left").select(F.when(other, F.xxhash64("rep", "text_hash")).otherwise(F.col("rep")).alias("id"), "rep", "text_hash", "mark_a", "mark_b", "n_shingles")
+
+
+def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The shingle table; the classes; (a, b) of linked classes, enough of them to know the groups."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent_shingles(docs))
     table = staged(shingle_table(docs, order), "shingles")
     full = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = staged(full.groupBy("mark_a", "mark_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    one = full.join(classes.select(F.col("rep").alias("doc_id"), "mark_a", "mark_b"), ["doc_id", "mark_a", "mark_b"], "left_semi")
-    firsts = one.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    classes = staged(classes_of(full), "classes")
+    one = full.join(classes.select(F.col("id").alias("class"), F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"])
+    firsts = one.select(F.col("class").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     hubs = firsts.groupBy("token").agg(F.count("*").alias("holders"), F.min(F.struct("rep", "n")).alias("hub")).where(F.col("holders") > 1)
     shared = staged(firsts.join(hubs.select("token", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "token"), "prefixes")
     to_hubs = shared.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
     to_hubs = to_hubs.groupBy(F.col("rep").alias("a"), F.col("hub").alias("b"), "n", "hub_n").agg(F.count("*").alias("c")).where(reaches(F.col("c"), F.col("n"), F.col("hub_n")))
-    links = staged(tested(staged(to_hubs.select("a", "b"), "hub-pairs"), docs, order), "hub-links")
+    links = staged(tested(staged(to_hubs.select("a", "b"), "hub-pairs"), classes, docs, order), "hub-links")
     near = connected_components(links)
     known = shared.select("token", "rep", "n", "pos").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("part"))
     known = staged(known, "parted")
@@ -247,18 +264,31 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     able = fits(F.col("n_a"), F.col("n_b")) & (9 * most >= 4 * (F.col("n_a") + F.col("n_b"))) & reaches(F.least("open_a", "open_b"), F.col("n_a"), F.col("n_b"))
     cross = x.join(y, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("part_a") != F.col("part_b")) & able)
     cross = cross.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count("*").alias("c")).where(reaches(F.col("c"), F.col("n_a"), F.col("n_b")))
-    more = staged(tested(staged(cross.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")), "cross-pairs"), docs, order), "cross-links")
+    more = staged(tested(staged(cross.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")), "cross-pairs"), classes, docs, order), "cross-links")
     dropped(left)
-    components = connected_components(links.union(more))
-    return table, classes, components
+    order.destroy()
+    return table, classes, links.union(more)
+
+
+def with_groups(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Every class (marks and size) with ``low``, the smallest document of its group."""
+    named = classes.join(connected_components(links), "id", "left").select("mark_a", "mark_b", "n_shingles", "rep", F.coalesce("component", "id").alias("component"))
+    lows = named.groupBy("component").agg(F.min("rep").alias("low"))
+    return named.join(lows, "component").select("mark_a", "mark_b", "n_shingles", "low")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    table, classes, components = classes_and_components(docs)
-    named = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("mark_a", "mark_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    rows = table.select("doc_id", "n_shingles", "mark_a", "mark_b").join(named, ["mark_a", "mark_b", "n_shingles"], "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    table, classes, links = classes_and_links(docs)
+    marks = ["mark_a", "mark_b", "n_shingles"]
+    mine = table.join(classes.select(*marks, "id"), marks).where(F.col("doc_id").isNotNull()).select("doc_id", "id")
+    several = mine.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("a") != F.col("b")).select("doc_id", "a")
+    same_document = several.join(mine, "doc_id").select("a", F.col("id").alias("b"))
+    groups = with_groups(classes, links.union(same_document))
+    rows = table.where(F.col("n_shingles") > 0).select("doc_id", *marks).join(groups, marks, "left").select("doc_id", "n_shingles", "low")
+    lows = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("low").alias("low"))
+    empty = table.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles").join(lows, "doc_id", "left")
+    return rows.unionByName(empty).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -266,6 +296,9 @@ def op5_ngram_jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without a doc_id stay."""
-    gone = join_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose doc_id is the smallest that has a text of the group; rows without a doc_id or without words stay."""
+    table, classes, links = classes_and_links(docs)
+    marks = ["mark_a", "mark_b", "n_shingles"]
+    gone = table.join(with_groups(classes, links), marks).where(F.col("doc_id") != F.col("low")).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
