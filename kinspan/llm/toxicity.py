@@ -20,7 +20,8 @@ regression of the examples' leave-one-out votes.
 
 Cases: a text without terms (null, empty or other) has the score of such
 examples, one whose terms no example has the share of toxic training rows;
-repeated rows have equal scores; equally near examples are taken in the order of
+repeated rows have equal scores; of several texts of a labelled doc_id one is
+taken by its terms, an id with both labels is no example; equally near examples are taken in the order of
 the index (by their heaviest terms); without examples of both labels every
 score is the share of toxic training rows (0 without any); an empty table gives
 no rows; columns other than doc_id and text are not read.
@@ -176,8 +177,11 @@ def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: in
 
 
 def training_rows(labels: DataFrame) -> DataFrame:
+    """(doc_id, is_toxic) of the labelled ids outside the held-out fold; ids with both labels are left out."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
-    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 0)).select("doc_id", F.col("toxic").cast("int").alias("is_toxic")).distinct()
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 0))
+    marks = rows.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("is_toxic"), F.max("toxic").alias("most"))
+    return marks.where(F.col("is_toxic") == F.col("most")).select("doc_id", "is_toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Scorer:
@@ -192,12 +196,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Scorer
     def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in textcore.slabs(batches, "text"):
             h, first = terms(data, offs)
-            for i, key in enumerate(rows.column("doc_id").to_pylist()):
-                t, n = np.unique(h[first[i] : first[i + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([t.view(np.int64)], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+            row = np.repeat(np.arange(len(rows)), np.diff(first))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            opens = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)])
+            ends = pa.array(np.searchsorted(row[opens], np.arange(len(rows) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h[opens].view(np.int64), np.diff(np.append(opens, len(h))).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *lists], names=["doc_id", "terms", "counts"])
 
     held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(example_terms, "doc_id long, terms array<long>, counts array<int>")
-    held = staged(held.dropDuplicates(["doc_id"]).join(ids, "doc_id"), "examples").toArrow().combine_chunks()
+    held = held.groupBy("doc_id").agg(F.min(F.struct("terms", "counts")).alias("one")).select("doc_id", "one.*")
+    held = staged(held.join(ids, "doc_id"), "examples").toArrow().combine_chunks()
     toxic, doc_ids = held["is_toxic"].to_numpy().astype(float), held["doc_id"].to_numpy()
     sizes = {1: int(toxic.sum()), 0: int((1 - toxic).sum())}
     if min(sizes.values()) == 0:
@@ -261,9 +270,6 @@ def known_terms(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> t
     return at[hit], np.searchsorted(first, hit, side="right") - 1, np.diff(first)
 
 
-SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, evidence_cosine array<double>"
-
-
 def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """Score, decision and nearest examples of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
