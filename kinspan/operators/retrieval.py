@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspan.functions import normalize
+from kinspan.operators import topk
 
 TERM = r"([\p{L}\p{N}_]{2,})"
 RULES = {
@@ -155,43 +156,69 @@ def char_terms(view: Column, shortest: int = 3, longest: int = 4) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
-def term_counts(records: DataFrame, column: str, terms=word_terms) -> DataFrame:
-    """(source, country, entity_id, term, n) of the records whose view is not empty."""
+def held_views(records: DataFrame, column: str) -> DataFrame:
+    """(source, entity_id, held): the filled views of every record with their countries; an id that occurs in several rows holds all of theirs."""
     filled = records.where(F.coalesce(F.col(column), F.lit("")) != "")
-    return filled.select("source", "country", "entity_id", F.explode(terms(F.col(column))).alias("term")).groupBy("source", "country", "entity_id", "term").agg(F.count("*").alias("n"))
+    return filled.groupBy("source", "entity_id").agg(F.sort_array(F.collect_list(F.struct("country", F.col(column).alias("view")))).alias("held"))
 
 
-def unit_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """TF-IDF weights, each record of length one: (1 + ln n) * idf."""
-    w = counts.join(idf, [c for c in ("source", "country", "term") if c in counts.columns]).withColumn("w", (1.0 + F.log(F.col("n"))) * F.col("idf"))
-    return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("source", "entity_id")))).select("source", "country", "term", "entity_id", "w")
+def term_counts(held: DataFrame, terms=word_terms) -> DataFrame:
+    """(source, country, entity_id, copies, term, n): records that hold the same are one, under the least of their ids."""
+    one = held.groupBy("source", "held").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("copies"))
+    views = one.select("source", "entity_id", "copies", F.inline("held"))
+    rows = views.select("source", "country", "entity_id", "copies", F.explode(terms(F.col("view"))).alias("term")).where(F.col("source").isNotNull() & F.col("country").isNotNull() & F.col("term").isNotNull())
+    return rows.groupBy("source", "country", "entity_id", "copies", "term").agg(F.count("*").alias("n"))
 
 
-def tfidf_index(targets: DataFrame, column: str, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(source, country, term, idf) and the targets' weights, fitted on the targets of a source and country: idf = ln((1 + n) / (1 + df)) + 1."""
-    counts = term_counts(targets, column, terms)
+def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(source, entity_id, terms, weights): TF-IDF weights (1 + ln n) * idf, each record of length one; a term goes with its country."""
+    w = counts.join(idf, [c for c in ("source", "country", "term") if c in counts.columns]).select("source", "entity_id", F.concat_ws("\x00", "country", "term").alias("term"), ((1.0 + F.log(F.col("n"))) * F.col("idf")).alias("w"))
+    rows = w.groupBy("source", "entity_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("all"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.select("source", "entity_id", F.col("all.term").alias("terms"), F.transform("all.w", lambda x: x / F.col("norm")).alias("weights"))
+
+
+def tfidf_index(targets: DataFrame, column: str, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(source, country, term, idf), the targets' vectors and what each target holds, fitted on the targets of a source and country: idf = ln((1 + n) / (1 + df)) + 1."""
+    held = held_views(targets, column)
+    counts = term_counts(held, terms)
     total = targets.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("source", "country").agg(F.count("*").alias("docs"))
-    df = counts.groupBy("source", "country", "term").agg(F.count("*").alias("df"), F.sum("n").alias("all_n"))
+    # n is used in df too: Spark then shuffles the counts once for all that reads them
+    df = counts.groupBy("source", "country", "term").agg(F.sum(F.when(F.col("n") > 0, F.col("copies"))).alias("df"), F.sum(F.col("n") * F.col("copies")).alias("all_n"))
     df = df.join(total, ["source", "country"]).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
     if max_terms is not None:
         order = Window.partitionBy("source", "country").orderBy(F.desc("all_n"), "term")
         df = df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_terms)
     idf = df.select("source", "country", "term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    return idf, unit_weights(counts, idf).withColumnsRenamed({"entity_id": "entity_id_cand", "w": "wt"})
+    return idf, unit_vectors(counts, idf), held
 
 
-def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame], column: str, k: int = 5, terms=word_terms, zero_based: bool = False) -> DataFrame:
+def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], column: str, k: int = 5, terms=word_terms, zero_based: bool = False) -> DataFrame:
     """The k most similar targets of an index per S1 record and target source.
 
     S1 terms unknown there are dropped. Scores are rounded to nine digits before
-    they rank; ties go by id.
+    they rank; ties go by id. Queries and targets meet in tiles, which give the k
+    best of a query each; pairs of holders of a term are never rows.
     """
-    idf, weights = index
-    q = unit_weights(term_counts(s1, column, terms).drop("source"), idf).withColumnsRenamed({"entity_id": "entity_id_s1", "w": "wq"})
-    scores = q.join(weights, ["source", "country", "term"]).groupBy("entity_id_s1", "entity_id_cand", F.col("source").alias("candidate_source")).agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("score"))
-    order = Window.partitionBy("entity_id_s1", "candidate_source").orderBy(F.desc("score"), "entity_id_cand")
-    ranked = scores.where(F.col("score") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.withColumn("rank", F.col("rank") - 1) if zero_based else ranked
+    idf, vectors, targets = index
+    queries = held_views(s1, column).drop("source")
+    q = unit_vectors(term_counts(queries.withColumn("source", F.lit("S1")), terms).drop("source"), idf)
+    place = F.row_number().over(Window.partitionBy("source", "held").orderBy("entity_id"))
+    ids = targets.withColumn("place", place).where(F.col("place") <= k).groupBy("source", "held").agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))  # of equal targets only the k least ids can be among the k best
+    t = vectors.join(ids.select("source", F.col("ids")[0].alias("entity_id"), "ids"), ["source", "entity_id"])
+    sizes = targets.groupBy("source").agg(F.count("*").alias("n_t")).crossJoin(queries.agg(F.count("*").alias("n_q")))
+    most = F.greatest(F.ceil(F.col("n_q") / topk.TILE), F.least(F.ceil(F.col("n_q") / topk.LEAST), F.lit(topk.AT_ONCE)), F.lit(1))
+    grid = F.broadcast(sizes.select("source", F.ceil(F.col("n_t") / topk.TILE).cast("int").alias("slabs"), most.cast("int").alias("chunks")))
+    dealt, every = lambda n: F.pmod(F.xxhash64("entity_id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("source", "slab", "chunk")]  # new columns: both sides may come from one table
+    q = q.join(grid, "source").withColumn("chunk", dealt("chunks")).withColumn("slab", every("slabs")).select(*tile("q"), "entity_id", "terms", "weights")
+    t = t.join(grid, "source").withColumn("slab", dealt("slabs")).withColumn("chunk", every("chunks")).select(*tile("t"), "ids", "terms", "weights")
+    found = q.groupBy("q_source", "q_slab", "q_chunk").cogroup(t.groupBy("t_source", "t_slab", "t_chunk")).applyInArrow(topk.best_of_tile(k), "candidate_source string, entity_id string, entity_id_cand string, score double")
+    order = Window.partitionBy("entity_id", "candidate_source").orderBy(F.desc("score"), "entity_id_cand")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    firsts = queries.groupBy("held").agg(F.min("entity_id").alias("entity_id"))
+    same = queries.withColumnRenamed("entity_id", "entity_id_s1").join(firsts, "held").drop("held")
+    out = same.join(ranked, "entity_id").select(*PAIR, "score", "rank")
+    return out.withColumn("rank", F.col("rank") - 1) if zero_based else out
 
 
 def tfidf_pairs(records: DataFrame, column: str, k: int = 5, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None, zero_based: bool = False) -> DataFrame:

@@ -1,7 +1,12 @@
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from kinspan.operators import audits, decide, features, metrics, pairs, retrieval
+from kinspan.operators import audits, decide, features, metrics, pairs, retrieval, topk
 from kinspan.plans.linkage import CandidateGenerator, Config, Stages, TargetContext
 from kinspan.sources import tables
 from kinspan.streaming.incremental import match_stream
@@ -62,6 +67,57 @@ def test_tfidf_by_hand(spark):
     assert set(got) == {"S2-1", "S2-2"} and got["S2-1"] == (1, 1.0) and got["S2-2"][0] == 2 and 0 < got["S2-2"][1] < 1
 
 
+def brute_tfidf(rows, k):
+    """Plain top-k over (id, name, country) rows: every S1 record against every target of its country."""
+    terms = {}
+    for i, name, country in rows:
+        w = re.findall(r"\w{2,}", name.lower())
+        terms[i] = Counter((country, t) for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    out = {}
+    for source in ("S2", "S3"):
+        ids = [i for i, name, _ in rows if i.startswith(source) and name]
+        docs = Counter(c for i, name, c in rows if i in set(ids))
+        df = Counter(t for i in ids for t in terms[i])
+
+        def unit(i):
+            w = {t: (1 + math.log(n)) * (math.log((1 + docs[t[0]]) / (1 + df[t])) + 1) for t, n in terms[i].items() if t in df}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            return {t: x / norm for t, x in w.items()}
+
+        targets = {i: unit(i) for i in ids}
+        for q in (i for i, _, _ in rows if i.startswith("S1")):
+            a = unit(q)
+            scores = sorted((-round(sum(x * b.get(t, 0.0) for t, x in a.items()), 9), i) for i, b in targets.items())
+            out |= {(q, i): (n, -s) for n, (s, i) in enumerate((x for x in scores[:k] if x[0] < 0), 1)}
+    return out
+
+
+def test_tfidf_of_common_words_copies_and_tiles_is_as_brute_force(spark, monkeypatch):
+    """Large groups of copies, words that most records hold, several tiles: no pairs of holders of a word are made, and none of the best is lost."""
+    dice = random.Random(5)
+    words = ["the", "of", "and", *(f"w{i}" for i in range(40))]
+    rows = []
+    for i in range(900):
+        name = "the copy of all" if i % 3 == 0 and i < 400 else " ".join(dice.choice(words[:3] if dice.random() < 0.5 else words) for _ in range(dice.randint(0, 6)))
+        rows.append((f"S{i % 3 + 1 if i >= 400 else dice.randint(1, 3)}-{i}", name, "US" if i % 5 else "FR"))
+    df = records(spark, [(i, name, "", c) for i, name, c in rows])
+    want = brute_tfidf(rows, 4)
+    for tile, least, at_once in ((300_000, 1_000, 3), (70, 10, 3)):
+        for name, value in (("TILE", tile), ("LEAST", least), ("AT_ONCE", at_once)):
+            monkeypatch.setattr(topk, name, value)
+        found = retrieval.tfidf_pairs(df, "name_norm_clean", 4)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroups" in plan
+        got = {(x["entity_id_s1"], x["entity_id_cand"]): (x["rank"], x["score"]) for x in found.collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-9 for p in want)
+
+
+def test_tfidf_of_an_id_in_several_rows_takes_them_together(spark):
+    r = records(spark, [("S1-1", "red apple", "", "US"), ("S2-1", "red", "", "US"), ("S2-1", "apple", "", "US"), ("S2-2", "red pear", "", "US")])
+    got = {x["entity_id_cand"]: x["rank"] for x in retrieval.tfidf_pairs(r, "name_norm_clean").collect()}
+    assert got == {"S2-1": 1, "S2-2": 2}
+
+
 def test_rare_and_numeric_tokens(spark):
     rows = [("S1-1", "zed common", "", "US"), ("S2-0", "zed", "", "US")] + [(f"S2-{i}", "common", "", "US") for i in range(1, 13)]
     got = retrieval.rare_token_pairs(records(spark, rows)).collect()
