@@ -204,7 +204,8 @@ def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], c
     q = unit_vectors(term_counts(queries.withColumn("source", F.lit("S1")), terms).drop("source"), idf)
     place = F.row_number().over(Window.partitionBy("source", "held").orderBy("entity_id"))
     ids = targets.withColumn("place", place).where(F.col("place") <= k).groupBy("source", "held").agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))  # of equal targets only the k least ids can be among the k best
-    t = vectors.join(ids.select("source", F.col("ids")[0].alias("entity_id"), "ids"), ["source", "entity_id"])
+    ids = ids.where(F.size("ids") > 0).select(F.col("source").alias("of"), F.col("ids")[0].alias("least"), "ids")
+    t = vectors.join(ids, (F.col("source") == F.col("of")) & F.col("entity_id").eqNullSafe(F.col("least")))  # a plain equality would filter the counts here alone, and shuffle them again
     sizes = targets.groupBy("source").agg(F.count("*").alias("n_t")).crossJoin(queries.agg(F.count("*").alias("n_q")))
     most = F.greatest(F.ceil(F.col("n_q") / topk.TILE), F.least(F.ceil(F.col("n_q") / topk.LEAST), F.lit(topk.AT_ONCE)), F.lit(1))
     grid = F.broadcast(sizes.select("source", F.ceil(F.col("n_t") / topk.TILE).cast("int").alias("slabs"), most.cast("int").alias("chunks")))
