@@ -58,14 +58,20 @@ class Data:
     def records(self) -> DataFrame:
         return self.kept("records", lambda: tables.normalized(self.entities))
 
+    @property
+    def known(self) -> DataFrame:
+        """The entities, out of the kept records where a query has those anyway, so that texts are not read again."""
+        at_hand = (self.spark.sparkContext.applicationId, self.sf_dir, "records") in _KEPT
+        return self.records.select(*self.entities.columns) if at_hand else self.entities
+
     @property
     def s1(self) -> DataFrame:
-        return self.entities.where(F.col("source") == "S1")
+        return self.known.where(F.col("source") == "S1")
 
     @property
     def truth(self) -> DataFrame:
         """Pairs of an S1 and another source's record of one language with the same words 17 and 18: copies, and texts that differ elsewhere, so that channels miss some."""
-        e = self.entities.select("entity_id", "source", "truth_key")
+        e = self.known.select("entity_id", "source", "truth_key")
         a = e.where(F.col("source") == "S1").select(F.col("entity_id").alias("entity_id_s1"), "truth_key")
         b = e.where(F.col("source") != "S1").select(F.col("entity_id").alias("entity_id_cand"), "truth_key")
         return a.join(b, "truth_key").select("entity_id_s1", "entity_id_cand")

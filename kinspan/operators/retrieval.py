@@ -162,34 +162,49 @@ def held_views(records: DataFrame, column: str) -> DataFrame:
     return filled.groupBy("source", "entity_id").agg(F.sort_array(F.collect_list(F.struct("country", F.col(column).alias("view")))).alias("held"))
 
 
-def term_counts(held: DataFrame, terms=word_terms) -> DataFrame:
-    """(source, country, entity_id, copies, term, n): records that hold the same are one, under the least of their ids."""
-    one = held.groupBy("source", "held").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("copies"))
-    views = one.select("source", "entity_id", "copies", F.inline("held"))
-    rows = views.select("source", "country", "entity_id", "copies", F.explode(terms(F.col("view"))).alias("term")).where(F.col("source").isNotNull() & F.col("country").isNotNull() & F.col("term").isNotNull())
-    return rows.groupBy("source", "country", "entity_id", "copies", "term").agg(F.count("*").alias("n"))
+def held_terms(held: Column, terms=word_terms) -> Column:
+    """Every occurrence of a term in what a record holds, each with its country before it; terms without a country are none."""
+    of = lambda h: F.transform(terms(h["view"]), lambda t: F.concat(h["country"], F.lit("\x00"), t))
+    return F.filter(F.flatten(F.transform(held, of)), lambda t: t.isNotNull())
 
 
-def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(source, entity_id, terms, weights): TF-IDF weights (1 + ln n) * idf, each record of length one; a term goes with its country."""
-    w = counts.join(idf, [c for c in ("source", "country", "term") if c in counts.columns]).select("source", "entity_id", F.concat_ws("\x00", "country", "term").alias("term"), ((1.0 + F.log(F.col("n"))) * F.col("idf")).alias("w"))
-    rows = w.groupBy("source", "entity_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("all"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.select("source", "entity_id", F.col("all.term").alias("terms"), F.transform("all.w", lambda x: x / F.col("norm")).alias("weights"))
+def counted_terms(held: Column, terms=word_terms) -> Column:
+    """(country, term, n) of each different term in what a record holds: the stretches of the sorted occurrences."""
+    of = lambda h: F.transform(terms(h["view"]), lambda t: F.struct(h["country"].alias("country"), t.alias("term")))
+    known = F.filter(F.flatten(F.transform(held, of)), lambda t: t["country"].isNotNull() & t["term"].isNotNull())
+    named = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  # a value that is used often is made once
+
+    def stretches(all_: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(all_)), lambda i: (i == F.size(all_)) | (i == 0) | (F.get(all_, i) != F.get(all_, i - 1)))  # and the end
+        one = lambda at: lambda i, j: F.struct(F.get(all_, i)["country"].alias("country"), F.get(all_, i)["term"].alias("term"), (F.get(at, j + 1) - i).alias("n"))
+        return named(opens, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), one(at)))
+
+    return named(F.sort_array(known), stretches)
+
+
+def slab_of(held: str, slabs: str) -> Column:
+    return F.pmod(F.xxhash64(held), F.col(slabs)).cast("int")
 
 
 def tfidf_index(targets: DataFrame, column: str, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source, country, term, idf), the targets' vectors and what each target holds, fitted on the targets of a source and country: idf = ln((1 + n) / (1 + df)) + 1."""
+    """(source, country, term, idf, marks), what each target holds, and (source, slabs), fitted on the targets of a source and country: idf = ln((1 + n) / (1 + df)) + 1.
+
+    A source's targets make up slabs; bit s % 64 of marks is set if slab s holds the
+    term. Targets that hold the same count as many but are read once, and their terms
+    are shuffled once, summed where they are made.
+    """
     held = held_views(targets, column)
-    counts = term_counts(held, terms)
     total = targets.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("source", "country").agg(F.count("*").alias("docs"))
-    # n is used in df too: Spark then shuffles the counts once for all that reads them
-    df = counts.groupBy("source", "country", "term").agg(F.sum(F.when(F.col("n") > 0, F.col("copies"))).alias("df"), F.sum(F.col("n") * F.col("copies")).alias("all_n"))
-    df = df.join(total, ["source", "country"]).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
+    slabs = total.groupBy("source").agg(F.ceil(F.sum("docs") / topk.TILE).cast("int").alias("slabs"))
+    one = held.groupBy("source", "held").agg(F.count("*").alias("copies")).join(F.broadcast(slabs), "source")
+    rows = one.select("source", "copies", F.pmod(slab_of("held", "slabs"), F.lit(64)).alias("slab"), F.inline(counted_terms(F.col("held"), terms)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slab"))
+    df = rows.groupBy("source", "country", "term").agg(F.sum("copies").alias("df"), F.sum(F.col("n") * F.col("copies")).alias("all_n"), F.bit_or(bit).alias("marks"))
+    df = df.join(F.broadcast(total), ["source", "country"]).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
     if max_terms is not None:
         order = Window.partitionBy("source", "country").orderBy(F.desc("all_n"), "term")
         df = df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_terms)
-    idf = df.select("source", "country", "term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    return idf, unit_vectors(counts, idf), held
+    return df.select("source", "country", "term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"), "marks"), held, slabs
 
 
 def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], column: str, k: int = 5, terms=word_terms, zero_based: bool = False) -> DataFrame:
@@ -197,26 +212,31 @@ def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], c
 
     S1 terms unknown there are dropped. Scores are rounded to nine digits before
     they rank; ties go by id. Queries and targets meet in tiles, which give the k
-    best of a query each; pairs of holders of a term are never rows.
+    best of a query each; pairs of holders of a term are never rows. A record goes to
+    its tiles with its terms, each slab's terms with their idf, and terms are weighed
+    there: rows of a record and a term are shuffled for the lengths of queries only.
     """
-    idf, vectors, targets = index
+    idf, targets, slabs = index
     queries = held_views(s1, column).drop("source")
-    q = unit_vectors(term_counts(queries.withColumn("source", F.lit("S1")), terms).drop("source"), idf)
+    firsts = queries.groupBy("held").agg(F.min("entity_id").alias("entity_id"))
+    w = (1.0 + F.log("n")) * F.col("idf")
+    known = idf.where(F.col("marks") != 0)  # true of all; Spark then shuffles the counts once for both that read them
+    lengths = firsts.select("entity_id", F.inline(counted_terms(F.col("held"), terms))).join(known, ["country", "term"]).groupBy("source", "entity_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
     place = F.row_number().over(Window.partitionBy("source", "held").orderBy("entity_id"))
-    ids = targets.withColumn("place", place).where(F.col("place") <= k).groupBy("source", "held").agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))  # of equal targets only the k least ids can be among the k best
-    ids = ids.where(F.size("ids") > 0).select(F.col("source").alias("of"), F.col("ids")[0].alias("least"), "ids")
-    t = vectors.join(ids, (F.col("source") == F.col("of")) & F.col("entity_id").eqNullSafe(F.col("least")))  # a plain equality would filter the counts here alone, and shuffle them again
-    sizes = targets.groupBy("source").agg(F.count("*").alias("n_t")).crossJoin(queries.agg(F.count("*").alias("n_q")))
-    most = F.greatest(F.ceil(F.col("n_q") / topk.TILE), F.least(F.ceil(F.col("n_q") / topk.LEAST), F.lit(topk.AT_ONCE)), F.lit(1))
-    grid = F.broadcast(sizes.select("source", F.ceil(F.col("n_t") / topk.TILE).cast("int").alias("slabs"), most.cast("int").alias("chunks")))
-    dealt, every = lambda n: F.pmod(F.xxhash64("entity_id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tile = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("source", "slab", "chunk")]  # new columns: both sides may come from one table
-    q = q.join(grid, "source").withColumn("chunk", dealt("chunks")).withColumn("slab", every("slabs")).select(*tile("q"), "entity_id", "terms", "weights")
-    t = t.join(grid, "source").withColumn("slab", dealt("slabs")).withColumn("chunk", every("chunks")).select(*tile("t"), "ids", "terms", "weights")
+    ids = targets.withColumn("place", place).where(F.col("place") <= k).groupBy("source", "held").agg(F.sort_array(F.collect_list("entity_id")).alias("ids")).where(F.size("ids") > 0)  # of equal targets only the k least ids can be among the k best
+    n_q = s1.where(F.coalesce(F.col(column), F.lit("")) != "").agg(F.count("*").alias("n_q"))
+    chunks = F.greatest(F.ceil(F.col("n_q") / topk.TILE), F.least(F.ceil(F.col("n_q") / topk.LEAST), F.lit(topk.AT_ONCE)), F.lit(1)).cast("int")
+    grid = F.broadcast(slabs.crossJoin(n_q).select("source", "slabs", chunks.alias("chunks")))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tile = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("source", "slab", "chunk")]  # noqa: E731  # new columns: both sides may come from one table
+    q = firsts.join(lengths, "entity_id").join(grid, "source").withColumn("chunk", F.pmod(F.xxhash64("entity_id"), F.col("chunks")).cast("int")).withColumn("terms", held_terms(F.col("held"), terms)).withColumn("slab", F.explode(every("slabs"))).select(*tile("q"), "entity_id", "norm", "terms")
+    t = ids.join(grid, "source").withColumn("slab", slab_of("held", "slabs")).withColumn("terms", held_terms(F.col("held"), terms)).withColumn("chunk", F.explode(every("chunks"))).select(*tile("t"), "ids", "terms")
+    holding = F.filter(every("slabs"), lambda i: F.getbit("marks", i % 64) == 1)
+    words = idf.join(grid, "source").withColumn("slab", F.explode(holding)).withColumn("chunk", F.explode(every("chunks"))).select(*tile("t"), F.concat_ws("\x00", "country", "term").alias("term"), "idf")
+    t = t.unionByName(words, allowMissingColumns=True)
     found = q.groupBy("q_source", "q_slab", "q_chunk").cogroup(t.groupBy("t_source", "t_slab", "t_chunk")).applyInArrow(topk.best_of_tile(k), "candidate_source string, entity_id string, entity_id_cand string, score double")
     order = Window.partitionBy("entity_id", "candidate_source").orderBy(F.desc("score"), "entity_id_cand")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    firsts = queries.groupBy("held").agg(F.min("entity_id").alias("entity_id"))
     same = queries.withColumnRenamed("entity_id", "entity_id_s1").join(firsts, "held").drop("held")
     out = same.join(ranked, "entity_id").select(*PAIR, "score", "rank")
     return out.withColumn("rank", F.col("rank") - 1) if zero_based else out

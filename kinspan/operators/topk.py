@@ -15,11 +15,21 @@ DIGITS, SLACK = 9, 1e-8
 RESULT = pa.schema([("candidate_source", pa.string()), ("entity_id", pa.string()), ("entity_id_cand", pa.string()), ("score", pa.float64())])
 
 
-def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """Row starts and values of a list column."""
-    lists = column.combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64), lists.flatten()
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.ChunkedArray]:
+    """How many values each row of a list column has, and the values."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return sizes, pa.chunked_array([x.flatten() for x in column.chunks], column.type.value_type)
+
+
+def weighed(column: pa.ChunkedArray, words: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row starts, places in ``words`` and weights (1 + ln n) * idf of the words that each list holds."""
+    sizes, values = flat(column)
+    codes = pc.index_in(values, value_set=words)
+    known = codes.is_valid().to_numpy()
+    rows = np.repeat(np.arange(len(sizes)), sizes)[known]
+    pairs, n = np.unique(rows * max(1, len(words)) + codes.drop_null().to_numpy(), return_counts=True)
+    rows, codes = np.divmod(pairs, max(1, len(words)))
+    return np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(sizes))))), codes, (1.0 + np.log(n)) * idf[codes]
 
 
 class Postings:
@@ -48,6 +58,8 @@ class Postings:
         Terms come rarest first. Targets are of length one, so one that shares only
         the terms from place i on scores no more than the length of that rest of the
         query: when the k-th partial score reaches it, no further target can enter.
+        That score is no more than the length of the terms read, so it is not looked
+        at while theirs is the smaller.
         """
         used = self.lengths[codes] > 0
         codes, weights = codes[used], weights[used]
@@ -67,7 +79,7 @@ class Postings:
                 seen.append(new)
                 n += len(new)
             i += 1
-            if n >= k and i < len(codes):
+            if n >= k and i < len(codes) and 2 * rest[i] ** 2 < rest[0] ** 2:
                 if len(seen) > 1:
                     seen = [np.concatenate(seen)]
                 kth = np.partition(self.partial[seen[0]], n - k)[n - k]
@@ -86,16 +98,20 @@ class Postings:
 
 def best_of_tile(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, queries: pa.Table, targets: pa.Table) -> pa.Table:
-        if not queries.num_rows or not targets.num_rows:
+        """queries: entity_id, norm, terms. targets: rows with ids and terms, and a row with term and idf for every word of theirs."""
+        is_word = targets["term"].is_valid()
+        listed, targets = targets.filter(is_word), targets.filter(pc.invert(is_word))
+        if not queries.num_rows or not targets.num_rows or not listed.num_rows:
             return RESULT.empty_table()
+        words, idf = pa.concat_arrays(listed["term"].chunks), listed["idf"].to_numpy()
         targets = targets.take(pc.sort_indices(pc.list_element(targets["ids"], 0)))
-        t_starts, t_terms = flat(targets["terms"])
-        q_starts, q_terms = flat(queries["terms"])
-        both = pa.concat_arrays([t_terms, q_terms]).dictionary_encode()
-        codes = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        postings = Postings(codes[: len(t_terms)], flat(targets["weights"])[1].to_numpy(zero_copy_only=False), t_starts, len(both.dictionary))
-        q_codes, q_weights = codes[len(t_terms) :], flat(queries["weights"])[1].to_numpy(zero_copy_only=False)
-        id_starts, ids = flat(targets["ids"])
+        t_starts, t_codes, t_weights = weighed(targets["terms"], words, idf)
+        lengths = np.sqrt(np.bincount(np.repeat(np.arange(targets.num_rows), np.diff(t_starts)), weights=t_weights * t_weights, minlength=targets.num_rows))
+        postings = Postings(t_codes, t_weights / np.repeat(lengths, np.diff(t_starts)), t_starts, len(words))
+        q_starts, q_codes, q_weights = weighed(queries["terms"], words, idf)
+        q_weights = q_weights / np.repeat(queries["norm"].to_numpy(), np.diff(q_starts))
+        id_sizes, ids = flat(targets["ids"])
+        id_starts, ids = np.concatenate(([0], np.cumsum(id_sizes))), pa.concat_arrays(ids.chunks)
         owner, at, score = [], [], []
         for i in range(queries.num_rows):
             rows, scores = postings.best(q_codes[q_starts[i] : q_starts[i + 1]], q_weights[q_starts[i] : q_starts[i + 1]], k)

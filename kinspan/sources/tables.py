@@ -114,7 +114,7 @@ def contract(df: DataFrame, categories: dict[str, str]) -> str:
 def entity_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Business-like records from ``documents``: three sources by doc_id, names and addresses from a text's first words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    words = F.split(F.trim("text"), r"\s+")
+    words = F.split(F.trim("text"), r"\s+", 19)  # 18 words, and the rest in one piece
     source = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
     return docs.select(
         F.concat_ws("-", source, F.col("doc_id").cast("string")).alias("entity_id"), source.alias("source"), F.col("lang").alias("country"),

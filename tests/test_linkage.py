@@ -118,6 +118,34 @@ def test_tfidf_of_an_id_in_several_rows_takes_them_together(spark):
     assert got == {"S2-1": 1, "S2-2": 2}
 
 
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    held = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+
+def test_tfidf_shuffles_records_not_their_weights(spark):
+    """Rows of a record and a term are not shuffled again and again: a search writes a small multiple of its records' text."""
+    dice = random.Random(9)
+    rows = [(f"S{i % 3 + 1}-{i}", " ".join(f"w{dice.randint(0, 3000)}" for _ in range(10)), "", "US") for i in range(9000)]
+    df = records(spark, rows).persist()
+    assert df.count() == len(rows)
+    before = shuffled(spark)
+    assert retrieval.tfidf_pairs(df, "name_norm_clean").count() > 0
+    df.unpersist()
+    assert shuffled(spark) - before < 34 * sum(len(name) for _, name, _, _ in rows)
+
+
+def test_counted_terms_are_the_stretches_of_the_sorted_ones(spark):
+    held = [[("US", "to be or not to be"), ("FR", "to be"), (None, "to be")], [("US", "x")], [("US", "aa")]]
+    df = spark.createDataFrame([(h,) for h in held], "held array<struct<country: string, view: string>>")
+    got = df.select(retrieval.counted_terms(F.col("held")).alias("c"), retrieval.held_terms(F.col("held")).alias("t")).collect()
+    for h, row in zip(held, got):
+        want = Counter((c, t) for c, v in h if c for w in [re.findall(r"\w{2,}", v)] for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+        assert {(x["country"], x["term"]): x["n"] for x in row["c"]} == want and len(row["c"]) == len(want)
+        assert Counter(row["t"]) == Counter({f"{c}\x00{t}": n for (c, t), n in want.items()})
+
+
 def test_rare_and_numeric_tokens(spark):
     rows = [("S1-1", "zed common", "", "US"), ("S2-0", "zed", "", "US")] + [(f"S2-{i}", "common", "", "US") for i in range(1, 13)]
     got = retrieval.rare_token_pairs(records(spark, rows)).collect()
