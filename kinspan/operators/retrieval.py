@@ -182,29 +182,32 @@ def counted_terms(held: Column, terms=word_terms) -> Column:
     return named(F.sort_array(known), stretches)
 
 
-def slab_of(held: str, slabs: str) -> Column:
-    return F.pmod(F.xxhash64(held), F.col(slabs)).cast("int")
+#: Terms of a source go to the tiles in so many lists.
+LISTS = 1_024
+
+
+def bits(place: Column) -> Column:
+    """A long with that bit set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
 def tfidf_index(targets: DataFrame, column: str, terms=word_terms, min_df: int = 1, max_df: float = 1.0, max_terms: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source, country, term, idf, marks), what each target holds, and (source, slabs), fitted on the targets of a source and country: idf = ln((1 + n) / (1 + df)) + 1.
+    """(source, country, term, idf, marks), what each target holds, and (source, docs), fitted on the targets of a source and country: idf = ln((1 + n) / (1 + df)) + 1.
 
-    A source's targets make up slabs; bit s % 64 of marks is set if slab s holds the
-    term. Targets that hold the same count as many but are read once, and their terms
-    are shuffled once, summed where they are made.
+    Targets are dealt into 64 parts by what they hold; marks has the bit of each part
+    that holds the term. Targets that hold the same count as many but are read once,
+    and their terms are shuffled once, summed where they are made.
     """
     held = held_views(targets, column)
     total = targets.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("source", "country").agg(F.count("*").alias("docs"))
-    slabs = total.groupBy("source").agg(F.ceil(F.sum("docs") / topk.TILE).cast("int").alias("slabs"))
-    one = held.groupBy("source", "held").agg(F.count("*").alias("copies")).join(F.broadcast(slabs), "source")
-    rows = one.select("source", "copies", F.pmod(slab_of("held", "slabs"), F.lit(64)).alias("slab"), F.inline(counted_terms(F.col("held"), terms)))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slab"))
-    df = rows.groupBy("source", "country", "term").agg(F.sum("copies").alias("df"), F.sum(F.col("n") * F.col("copies")).alias("all_n"), F.bit_or(bit).alias("marks"))
+    one = held.groupBy("source", "held").agg(F.count("*").alias("copies"))
+    rows = one.select("source", "copies", F.pmod(F.xxhash64("held"), F.lit(64)).cast("int").alias("part"), F.inline(counted_terms(F.col("held"), terms))).where(F.col("source").isNotNull() & F.col("country").isNotNull() & F.col("term").isNotNull())  # said here, as joins would say it for one reader only
+    df = rows.groupBy("source", "country", "term").agg(F.sum("copies").alias("df"), F.sum(F.col("n") * F.col("copies")).alias("all_n"), F.bit_or(bits(F.col("part"))).alias("marks"))
     df = df.join(F.broadcast(total), ["source", "country"]).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
     if max_terms is not None:
         order = Window.partitionBy("source", "country").orderBy(F.desc("all_n"), "term")
         df = df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_terms)
-    return df.select("source", "country", "term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"), "marks"), held, slabs
+    return df.select("source", "country", "term", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"), "marks"), held, total.groupBy("source").agg(F.sum("docs").alias("docs"))
 
 
 def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], column: str, k: int = 5, terms=word_terms, zero_based: bool = False) -> DataFrame:
@@ -213,27 +216,35 @@ def tfidf_search(s1: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], c
     S1 terms unknown there are dropped. Scores are rounded to nine digits before
     they rank; ties go by id. Queries and targets meet in tiles, which give the k
     best of a query each; pairs of holders of a term are never rows. A record goes to
-    its tiles with its terms, each slab's terms with their idf, and terms are weighed
-    there: rows of a record and a term are shuffled for the lengths of queries only.
+    its tiles with its terms, each slab's terms go there in lists with their idf, and
+    terms are weighed there: rows of a record and a term are shuffled for the lengths
+    of queries only.
     """
-    idf, targets, slabs = index
+    idf, targets, sizes = index
     queries = held_views(s1, column).drop("source")
     firsts = queries.groupBy("held").agg(F.min("entity_id").alias("entity_id"))
-    w = (1.0 + F.log("n")) * F.col("idf")
     known = idf.where(F.col("marks") != 0)  # true of all; Spark then shuffles the counts once for both that read them
+    w = (1.0 + F.log("n")) * F.col("idf")
     lengths = firsts.select("entity_id", F.inline(counted_terms(F.col("held"), terms))).join(known, ["country", "term"]).groupBy("source", "entity_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
     place = F.row_number().over(Window.partitionBy("source", "held").orderBy("entity_id"))
     ids = targets.withColumn("place", place).where(F.col("place") <= k).groupBy("source", "held").agg(F.sort_array(F.collect_list("entity_id")).alias("ids")).where(F.size("ids") > 0)  # of equal targets only the k least ids can be among the k best
+    word = F.struct(F.concat_ws("\x00", "country", "term").alias("term"), "idf", "marks")
+    lists = idf.groupBy("source", F.pmod(F.xxhash64("country", "term"), F.lit(LISTS)).alias("list")).agg(F.collect_list(word).alias("words")).drop("list")
     n_q = s1.where(F.coalesce(F.col(column), F.lit("")) != "").agg(F.count("*").alias("n_q"))
     chunks = F.greatest(F.ceil(F.col("n_q") / topk.TILE), F.least(F.ceil(F.col("n_q") / topk.LEAST), F.lit(topk.AT_ONCE)), F.lit(1)).cast("int")
-    grid = F.broadcast(slabs.crossJoin(n_q).select("source", "slabs", chunks.alias("chunks")))
+    slabs = F.ceil(F.col("docs") / topk.TILE).cast("int")
+    slabs = F.when(slabs > 64, F.ceil(slabs / 64).cast("int") * 64).otherwise(slabs)  # of whole parts, or parts of whole slabs
+    grid = F.broadcast(sizes.crossJoin(n_q).select("source", slabs.alias("slabs"), chunks.alias("chunks")))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     tile = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("source", "slab", "chunk")]  # noqa: E731  # new columns: both sides may come from one table
     q = firsts.join(lengths, "entity_id").join(grid, "source").withColumn("chunk", F.pmod(F.xxhash64("entity_id"), F.col("chunks")).cast("int")).withColumn("terms", held_terms(F.col("held"), terms)).withColumn("slab", F.explode(every("slabs"))).select(*tile("q"), "entity_id", "norm", "terms")
-    t = ids.join(grid, "source").withColumn("slab", slab_of("held", "slabs")).withColumn("terms", held_terms(F.col("held"), terms)).withColumn("chunk", F.explode(every("chunks"))).select(*tile("t"), "ids", "terms")
-    holding = F.filter(every("slabs"), lambda i: F.getbit("marks", i % 64) == 1)
-    words = idf.join(grid, "source").withColumn("slab", F.explode(holding)).withColumn("chunk", F.explode(every("chunks"))).select(*tile("t"), F.concat_ws("\x00", "country", "term").alias("term"), "idf")
-    t = t.unionByName(words, allowMissingColumns=True)
+    t = ids.select("source", F.xxhash64("held").alias("hash"), "ids", held_terms(F.col("held"), terms).alias("terms")).unionByName(lists, allowMissingColumns=True).join(grid, "source")
+    own = F.pmod(F.pmod("hash", F.lit(64)), F.least("slabs", F.lit(64))) + 64 * F.pmod(F.shiftright("hash", 6), F.ceil(F.col("slabs") / 64))
+    t = t.withColumn("slab", F.explode(F.when(F.col("words").isNull(), F.array(own.cast("int"))).otherwise(every("slabs"))))
+    parts = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: i % F.least("slabs", F.lit(64)) == F.col("slab") % 64)
+    t = t.withColumn("here", F.when(F.col("words").isNotNull(), F.aggregate(parts, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bits(i)))))
+    t = t.withColumn("words", F.filter("words", lambda x: x["marks"].bitwiseAND(F.col("here")) != 0)).withColumn("chunk", F.explode(every("chunks")))
+    t = t.select(*tile("t"), "ids", "terms", F.col("words.term").alias("words"), F.col("words.idf").alias("idf"))
     found = q.groupBy("q_source", "q_slab", "q_chunk").cogroup(t.groupBy("t_source", "t_slab", "t_chunk")).applyInArrow(topk.best_of_tile(k), "candidate_source string, entity_id string, entity_id_cand string, score double")
     order = Window.partitionBy("entity_id", "candidate_source").orderBy(F.desc("score"), "entity_id_cand")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -98,12 +98,13 @@ class Postings:
 
 def best_of_tile(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, queries: pa.Table, targets: pa.Table) -> pa.Table:
-        """queries: entity_id, norm, terms. targets: rows with ids and terms, and a row with term and idf for every word of theirs."""
-        is_word = targets["term"].is_valid()
-        listed, targets = targets.filter(is_word), targets.filter(pc.invert(is_word))
-        if not queries.num_rows or not targets.num_rows or not listed.num_rows:
+        """queries: entity_id, norm, terms. targets: rows with ids and terms, and rows with lists of their words and idf."""
+        is_list = targets["words"].is_valid()
+        listed, targets = targets.filter(is_list), targets.filter(pc.invert(is_list))
+        words, idf = flat(listed["words"])[1], flat(listed["idf"])[1].to_numpy()
+        if not queries.num_rows or not targets.num_rows or not len(words):
             return RESULT.empty_table()
-        words, idf = pa.concat_arrays(listed["term"].chunks), listed["idf"].to_numpy()
+        words = pa.concat_arrays(words.chunks)
         targets = targets.take(pc.sort_indices(pc.list_element(targets["ids"], 0)))
         t_starts, t_codes, t_weights = weighed(targets["terms"], words, idf)
         lengths = np.sqrt(np.bincount(np.repeat(np.arange(targets.num_rows), np.diff(t_starts)), weights=t_weights * t_weights, minlength=targets.num_rows))

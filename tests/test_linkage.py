@@ -112,6 +112,15 @@ def test_tfidf_of_common_words_copies_and_tiles_is_as_brute_force(spark, monkeyp
         assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-9 for p in want)
 
 
+def test_tfidf_of_more_slabs_than_parts_is_as_brute_force(spark, monkeypatch):
+    dice = random.Random(6)
+    rows = [(f"S{1 if i < 4 else 2}-{i}", " ".join(dice.choice(("the", f"w{dice.randint(0, 30)}")) for _ in range(5)), "US") for i in range(94)]
+    monkeypatch.setattr(topk, "TILE", 1)
+    found = retrieval.tfidf_pairs(records(spark, [(i, name, "", c) for i, name, c in rows]), "name_norm_clean", 4)
+    got, want = {(x["entity_id_s1"], x["entity_id_cand"]): (x["rank"], x["score"]) for x in found.collect()}, brute_tfidf(rows, 4)
+    assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-9 for p in want)
+
+
 def test_tfidf_of_an_id_in_several_rows_takes_them_together(spark):
     r = records(spark, [("S1-1", "red apple", "", "US"), ("S2-1", "red", "", "US"), ("S2-1", "apple", "", "US"), ("S2-2", "red pear", "", "US")])
     got = {x["entity_id_cand"]: x["rank"] for x in retrieval.tfidf_pairs(r, "name_norm_clean").collect()}
