@@ -28,8 +28,10 @@ def weighed(column: pa.ChunkedArray, words: pa.Array, idf: np.ndarray) -> tuple[
     known = codes.is_valid().to_numpy()
     rows = np.repeat(np.arange(len(sizes)), sizes)[known]
     pairs, n = np.unique(rows * max(1, len(words)) + codes.drop_null().to_numpy(), return_counts=True)
+    del values, known, rows, codes
     rows, codes = np.divmod(pairs, max(1, len(words)))
-    return np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(sizes))))), codes, (1.0 + np.log(n)) * idf[codes]
+    pa.default_memory_pool().release_unused()
+    return np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(sizes))))), codes.astype(np.int32), (1.0 + np.log(n)) * idf[codes]
 
 
 class Postings:
@@ -38,7 +40,7 @@ class Postings:
     def __init__(self, codes: np.ndarray, weights: np.ndarray, starts: np.ndarray, n_terms: int) -> None:
         self.starts, self.codes, self.weights = starts, codes, weights
         order = np.argsort(codes, kind="stable")
-        self.rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[order]
+        self.rows = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))[order]
         self.values = weights[order]
         self.at = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=n_terms))))
         self.lengths = np.diff(self.at)
@@ -98,6 +100,12 @@ class Postings:
 
 def best_of_tile(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, queries: pa.Table, targets: pa.Table) -> pa.Table:
+        """The best of a tile; what it took goes back to the system, as a worker may wait long beside other stages."""
+        found = best(key, queries, targets)
+        pa.default_memory_pool().release_unused()
+        return found
+
+    def best(key: tuple, queries: pa.Table, targets: pa.Table) -> pa.Table:
         """queries: entity_id, norm, terms. targets: rows with ids and terms, and rows with lists of their words and idf."""
         is_list = targets["words"].is_valid()
         listed, targets = targets.filter(is_list), targets.filter(pc.invert(is_list))

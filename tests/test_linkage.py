@@ -287,3 +287,27 @@ def test_plans_push_filters_and_limit_windows(spark):
     assert "PushedFilters: [IsNotNull(c_nationkey), EqualTo(c_nationkey,7)]" in text and "c_acctbal" not in text
     text = catalog.QUERIES["t1_t2_rank_prune15"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in text and "Join Cross" not in text
+
+
+def test_tiles_keep_small_numbers_and_give_their_memory_back(monkeypatch):
+    """Places of terms and rows take four bytes, and a tile leaves no unused Arrow memory behind."""
+    import numpy as np
+    import pyarrow as pa
+
+    from kinspan.operators import topk
+
+    released = []
+    real = pa.default_memory_pool()
+    pool = type("Pool", (), {"release_unused": lambda self: (released.append(1), real.release_unused())[0]})()
+    monkeypatch.setattr(topk.pa, "default_memory_pool", lambda: pool)
+    starts, codes, weights = topk.weighed(pa.chunked_array([[["a", "b", "a"], None, ["c", "x"]]]), pa.array(["a", "b", "c"]), np.array([1.0, 2.0, 3.0]))
+    assert (list(starts), list(codes), codes.dtype) == ([0, 2, 2, 3], [0, 1, 2], np.int32)
+    assert np.allclose(weights, [1 + np.log(2), 2.0, 3.0])
+    assert topk.Postings(codes, weights, starts, 3).rows.dtype == np.int32
+    queries = pa.table({"entity_id": ["S1-0"], "norm": [1.0], "terms": [["a"]]})
+    lists = pa.array([None, ["a", "b"]], pa.list_(pa.string()))
+    targets = pa.table({"ids": pa.array([["S2-1"], None], pa.list_(pa.string())), "terms": pa.array([["a", "a"], None], pa.list_(pa.string())), "words": lists, "idf": pa.array([None, [1.0, 1.0]], pa.list_(pa.float64()))})
+    before = len(released)
+    found = topk.best_of_tile(5)((pa.scalar("S2"),), queries, targets)
+    assert found.to_pylist() == [{"candidate_source": "S2", "entity_id": "S1-0", "entity_id_cand": "S2-1", "score": 1.0}]
+    assert len(released) == before + 3  # after the targets', the queries' and the whole tile
