@@ -87,7 +87,7 @@ class Index:
         self.blocks = -(-self.n // BLOCK)
         row = np.repeat(np.arange(self.n), np.diff(vectors.first))
         order = np.argsort(vectors.terms, kind="stable")
-        self.held, self.held_weight = row[order].astype(np.int32), vectors.weights[order]
+        self.held, self.held_weight = row[order].astype(np.intp), vectors.weights[order]  # of the type that bincount takes without a copy
         spot = vectors.terms[order].astype(np.int64) * self.blocks + self.held // BLOCK
         opens = np.flatnonzero(np.append(True, spot[1:] != spot[:-1])[: len(spot)])
         self.block, self.maxima = (spot[opens] % self.blocks).astype(np.int32), np.maximum.reduceat(self.held_weight, opens) if len(opens) else np.zeros(0)
@@ -116,9 +116,10 @@ class Index:
                 break
             visited = np.zeros(self.blocks, bool)
             visited[group] = True
-            here = visited[block]
-            held = self.opens[entry[here] + 1] - self.opens[entry[here]]
-            posting = textcore.ragged(self.opens[entry[here]], held)
+            here = np.flatnonzero(visited[block])
+            opens = self.opens[entry[here]]
+            held = self.opens[entry[here] + 1] - opens
+            posting = textcore.ragged(opens, held)
             scores = np.bincount(self.held[posting], weights=np.repeat(q[here], held) * self.held_weight[posting], minlength=self.n)
             hit = np.flatnonzero(scores > 0)
             at, values = np.concatenate([best_at, hit]), np.concatenate([best, scores[hit]])

@@ -511,6 +511,12 @@ def test_block_max_search_is_exact():
         assert np.allclose(cos, want[want > 0])
 
 
+def test_postings_are_counted_without_a_copy():
+    index = toxicity.Index(np.arange(2, dtype=np.uint64), np.ones(2), np.eye(2), np.zeros(2), np.ones(2), np.arange(2), 0.1)
+    assert index.held.dtype == np.intp  # bincount copies any other type, for every query
+    assert index.nearest(np.array([1]), np.ones(1), 2)[0].tolist() == [1]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16)).astype(np.float32)
