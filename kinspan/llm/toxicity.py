@@ -10,10 +10,12 @@ Terms that no example has are in no vector, as usual where a fitted vocabulary i
 applied to new texts.
 
 The index is an inverted one: a posting list per term, in blocks of ``BLOCK``
-examples, each block with its largest weight. A query adds up block maxima to an
-upper bound for each block, visits blocks from the highest bound down, computes
-exact cosines from the postings there, and stops when the bound falls below the
-``NEIGHBOURS``-th best: the neighbours are the exact ones. Their labels are
+examples, each block with its largest weight. What the ``COMMON`` terms of most
+examples add to the cosines comes from a product with the matrix of their
+weights, for ``AT_ONCE`` queries together. The largest of that in a block and the
+block maxima of the query's other terms are an upper bound for the block; only
+blocks are visited whose bound reaches the ``NEIGHBOURS``-th best product, and
+cosines are completed from the postings there: the neighbours are the exact ones. Their labels are
 voted on with weights that grow as the distance falls; examples count as their
 label's share among the training rows. Votes are calibrated by isotonic
 regression of the examples' leave-one-out votes.
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import InitVar, dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +46,8 @@ from kinspan.llm.staging import staged
 
 MOST_EXAMPLES = 6_000
 BLOCK = 64
+COMMON = 512  # terms in a matrix
+AT_ONCE = 64  # queries multiplied with it together
 NEIGHBOURS = 15
 FOLDS = 5
 SMOOTH = 0.5
@@ -93,43 +98,74 @@ class Index:
         self.block, self.maxima = (spot[opens] % self.blocks).astype(np.int32), np.maximum.reduceat(self.held_weight, opens) if len(opens) else np.zeros(0)
         self.opens = np.append(opens, len(spot))  # where the postings of a term in a block begin
         self.of_term = np.searchsorted(spot[opens] // self.blocks, np.arange(len(self.vocabulary) + 1))
-
-    def query(self, term_ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The query's unit vector, by term."""
-        w = (1 + np.log(counts)) * self.idf[term_ids]
-        return term_ids, w / np.sqrt((w * w).sum())
+        sizes = np.diff(self.opens[self.of_term])
+        self.common = np.sort(np.argsort(-sizes, kind="stable")[:COMMON])
+        self.place = np.full(len(self.vocabulary), -1, np.int32)  # of a common term in the matrix
+        self.place[self.common] = np.arange(len(self.common))
+
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """The weights of the common terms, by term and example."""
+        out = np.zeros((len(self.common), self.n))
+        a = self.opens[self.of_term[self.common]]
+        sizes = self.opens[self.of_term[self.common + 1]] - a
+        posting = textcore.ragged(a, sizes)
+        out[np.repeat(np.arange(len(out)), sizes), self.held[posting]] = self.held_weight[posting]
+        return out
+
+    def __getstate__(self) -> dict:
+        """Without the matrix, which each worker makes for itself."""
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
+
+    def queries(self, at: np.ndarray, row: np.ndarray) -> Vectors:
+        """The unit vectors of the rows that have terms, from the term and row of every occurrence."""
+        pairs, counts = np.unique(row * len(self.vocabulary) + at, return_counts=True)
+        row, term = np.divmod(pairs, len(self.vocabulary))
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+        w = (1 + np.log(counts)) * self.idf[term]
+        sizes = np.diff(np.append(first, len(row)))
+        return Vectors(np.append(first, len(row)), term, w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)) if len(first) else w, sizes))
 
     def nearest(self, term_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a positive cosine."""
-        sizes = self.of_term[term_ids + 1] - self.of_term[term_ids]
-        entry, q = textcore.ragged(self.of_term[term_ids], sizes), np.repeat(q, sizes)
+        return next(self.neighbours(Vectors(np.array([0, len(term_ids)]), term_ids, q), k))
+
+    def neighbours(self, queries: Vectors, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`nearest` of every query, in order."""
+        for a in range(0, len(queries.first) - 1, AT_ONCE):
+            first = queries.first[a : a + AT_ONCE + 1]
+            term, q = (x[first[0] : first[-1]] for x in queries[1:])
+            row, place = np.repeat(np.arange(len(first) - 1), np.diff(first)), self.place[term]
+            common = place >= 0
+            of_common = np.zeros((len(first) - 1, len(self.common)))
+            of_common[row[common], place[common]] = q[common]
+            scores = of_common @ self.matrix
+            least = np.partition(scores, -k, axis=1)[:, -k] if self.n > k else np.zeros(len(scores))
+            most = np.maximum.reduceat(scores, np.arange(0, self.n, BLOCK), axis=1)
+            term, q, cuts = term[~common], q[~common], np.searchsorted(row[~common], np.arange(len(first)))
+            for i, own in enumerate(scores):
+                rest = slice(cuts[i], cuts[i + 1])
+                yield self.best(own, least[i], most[i], term[rest], q[rest], k)
+
+    def best(self, scores: np.ndarray, least: float, most: np.ndarray, term: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples, given what the common terms add up to (``least``: the k-th of that, ``most``: the largest in each block) and the query's other terms."""
+        sizes = self.of_term[term + 1] - self.of_term[term]
+        entry, q = textcore.ragged(self.of_term[term], sizes), np.repeat(q, sizes)
         block = self.block[entry]
-        bounds = np.bincount(block, weights=q * self.maxima[entry], minlength=self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        a, step = 0, 4
-        while a < self.blocks:
-            least = best[-1] - 1e-9 if len(best) == k else 0.0
-            group = order[a : a + step]
-            group = group[(bounds[group] > 0) & (bounds[group] >= least)]
-            if not len(group):
-                break
-            visited = np.zeros(self.blocks, bool)
-            visited[group] = True
-            here = np.flatnonzero(visited[block])
-            opens = self.opens[entry[here]]
-            held = self.opens[entry[here] + 1] - opens
-            posting = textcore.ragged(opens, held)
-            scores = np.bincount(self.held[posting], weights=np.repeat(q[here], held) * self.held_weight[posting], minlength=self.n)
-            hit = np.flatnonzero(scores > 0)
-            at, values = np.concatenate([best_at, hit]), np.concatenate([best, scores[hit]])
-            if len(at) > k:
-                near = values >= np.partition(values, -k)[-k] - 1e-9
-                at, values = at[near], values[near]
-            near = np.lexsort((at, -values.round(12)))[:k]
-            best_at, best = at[near], values[near]
-            a, step = a + step, 4 * step
-        return best_at, best
+        bounds = most + np.bincount(block, weights=q * self.maxima[entry], minlength=self.blocks)
+        visited = (bounds > 0) & (bounds >= least - 1e-9)
+        here = np.flatnonzero(visited[block])
+        opens = self.opens[entry[here]]
+        held = self.opens[entry[here] + 1] - opens
+        posting = textcore.ragged(opens, held)
+        scores = scores + np.bincount(self.held[posting], weights=np.repeat(q[here], held) * self.held_weight[posting], minlength=self.n)
+        at = np.flatnonzero((scores > 0) & (scores >= least - 1e-9) & np.repeat(visited, BLOCK)[: self.n])
+        values = scores[at]
+        if len(at) > k:
+            near = values >= np.partition(values, -k)[-k] - 1e-9
+            at, values = at[near], values[near]
+        near = np.lexsort((at, -values.round(12)))[:k]
+        return at[near], values[near]
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic weight among neighbours, the nearer the heavier, drawn towards the prior."""
@@ -253,8 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Scorer
     unit = Vectors(np.append(0, np.cumsum(lengths[kept])), term[own], weights[own])
     index = Index(vocabulary, idf, unit, toxic[kept], weight[kept], doc_ids[kept], prior)
     votes, led = np.zeros(len(kept)), np.zeros(len(kept), bool)
-    for i, (a, b) in enumerate(zip(unit.first[:-1], unit.first[1:], strict=True)):
-        at, cos = index.nearest(unit.terms[a:b], unit.weights[a:b], NEIGHBOURS + 1)
+    for i, (at, cos) in enumerate(index.neighbours(unit, NEIGHBOURS + 1)):
         other = at != i
         votes[i], led[i] = index.vote(at[other][:NEIGHBOURS], cos[other][:NEIGHBOURS]), other.any()
     if not led.any():
@@ -283,10 +318,8 @@ def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
             if s.index is not None:
                 at, row, sizes = known_terms(data, offs, s.index.vocabulary)
                 scores[sizes > 0] = s.index.prior
-                cuts = np.searchsorted(row, np.arange(n + 1))
-                for i in np.unique(row):
-                    t, counts = np.unique(at[cuts[i] : cuts[i + 1]], return_counts=True)
-                    near, cos = s.index.nearest(*s.index.query(t, counts), NEIGHBOURS)
+                known = np.unique(row)
+                for i, (near, cos) in zip(known, s.index.neighbours(s.index.queries(at, row), NEIGHBOURS), strict=True):
                     scores[i] = s.calibrated(s.index.vote(near, cos))
                     evidence[i], cosines[i] = s.index.ids[near].tolist(), cos.tolist()
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(scores), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "evidence_cosine"])

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -517,6 +518,35 @@ def test_postings_are_counted_without_a_copy():
     assert index.nearest(np.array([1]), np.ones(1), 2)[0].tolist() == [1]
 
 
+def test_postings_of_common_terms_are_not_read_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = np.zeros((900, 140))
+    for v in vectors:
+        v[:20] = rng.random(20) * (rng.random(20) < 0.7)
+        v[rng.integers(20, 140, 3)] = rng.random(3)
+    vectors[7] = vectors[600]
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    monkeypatch.setattr(toxicity, "COMMON", 20, raising=False)
+    index = toxicity.Index(np.arange(140, dtype=np.uint64), np.ones(140), vectors, np.zeros(900), np.ones(900), np.arange(900), 0.1)
+    read = []
+    ragged = textcore.ragged
+    monkeypatch.setattr(textcore, "ragged", lambda starts, lengths: read.append(int(lengths.sum())) or ragged(starts, lengths))
+    asked = [*range(100), 600]
+    found = []
+    for i in asked:
+        t = np.flatnonzero(vectors[i])
+        found.append(index.nearest(t, vectors[i, t], 15))
+    assert sum(read) < 0.1 * len(asked) * (vectors[:, :20] > 0).sum()
+    want = [sorted(((-round(c, 12), j) for j, c in enumerate(vectors @ vectors[i]) if c > 0))[:15] for i in asked]
+    for (at, cos), own in zip(found, want):
+        assert at.tolist() == [j for _, j in own] and np.allclose(cos, [-c for c, _ in own])
+    terms = [np.flatnonzero(vectors[i]) for i in asked]
+    whole = toxicity.Vectors(np.append(0, np.cumsum([len(t) for t in terms])), np.concatenate(terms), np.concatenate([vectors[i, t] for i, t in zip(asked, terms)]))
+    for (at, cos), (at_once, cos_once) in zip(found, index.neighbours(whole, 15), strict=True):
+        assert at.tolist() == at_once.tolist() and np.allclose(cos, cos_once)
+    assert "matrix" not in pickle.loads(pickle.dumps(index)).__dict__
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16)).astype(np.float32)
