@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Shuffle files of a finished write go at once, not when the driver's garbage is collected.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A file written from staged tables stands for so many of their bytes at least, unless cores would be idle.
+LEAST_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +47,16 @@ def written(df: DataFrame, path: str) -> None:
     system.deleteOnExit(target)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
+def files_for(*tables: DataFrame) -> int:
+    """How many files at most are worth writing for what is made of these staged tables: each costs a file system several calls, and on a local one several processes."""
+    size = sum(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() for t in tables)
+    return max(2 * tables[0].sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
+
+
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back. With ``files``, small partitions share a file where there are more; none is left out."""
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     path = new_path(spark, name)
     before = spark.conf.get(CLEANUP, None)
     try:

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from kinspan.llm import textcore
 from kinspan.llm.fingerprints import NULL_KEY
-from kinspan.llm.staging import dropped, staged
+from kinspan.llm.staging import dropped, files_for, staged
 from kinspan.llm.suffix_arrays import longest_repeats
 
 LENGTH = 200
@@ -329,41 +329,47 @@ def mixed_anchors(kinds: DataFrame, crowd: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(key, text_hash, spans): where the repeated windows of each document that has any begin, and how many follow in a row."""
+    return spans_and_files(docs, length, gram, crowd)[0]
+
+
+def spans_and_files(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, int]:
+    """:func:`repeated_spans`, and how many files a result with a row for each document is worth."""
     texts = keyed(docs)
     runs = staged(find_runs(texts, length, gram), "runs")
     anchors = runs.where("leads").groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor")
-    shared = staged(runs.join(anchors.hint("shuffle_hash"), "anchor"), "shared-runs")
+    files = files_for(runs)
+    shared = staged(runs.join(anchors.hint("shuffle_hash"), "anchor"), "shared-runs", files)
     dropped(runs)
     one = F.min(F.struct("key", "text_hash", F.get("starts", 0).alias("start"), "windows", "lead")).alias("one")
     kinds = shared.where("leads").groupBy("anchor", "symbol").agg(F.sum("copies").alias("n"), one)
-    kinds = staged(kinds.withColumn("alone", F.col("n") == 1), "kinds")
+    kinds = staged(kinds.withColumn("alone", F.col("n") == 1), "kinds", files_for(shared))
     whole = shared.join(kinds.where(F.col("n") > 1).select("anchor", "symbol").hint("shuffle_hash"), ["anchor", "symbol"])
     parts = [whole.select("key", "text_hash", "starts", "windows")]
     listed = kinds.join(mixed_anchors(kinds, crowd), "anchor").groupBy("one.key", "one.text_hash").agg(F.collect_list(F.struct("one.start", "one.windows", "one.lead", "anchor", "alone", "crowded")).alias("runs"))
-    bodies = staged(run_bodies(texts.join(listed, ["key", "text_hash"]).select("key", "text_hash", "text", "runs"), length), "bodies")
+    bodies = staged(run_bodies(texts.join(listed, ["key", "text_hash"]).select("key", "text_hash", "text", "runs"), length), "bodies", files)
     done = [shared, kinds]
     width = length - gram + 1
     while True:
-        parts.append(staged(shared_windows(bodies.where(~F.col("crowded")), length), "shared-windows"))
+        parts.append(staged(shared_windows(bodies.where(~F.col("crowded")), length), "shared-windows", files_for(bodies)))
         done.append(parts[-1])
         large = bodies.where("crowded")
         if large.isEmpty():
             dropped(bodies)
             break
         width = -(-width // PARTS)
-        cut = staged(split_runs(large, width, length), "parts-of-runs")
+        cut = staged(split_runs(large, width, length), "parts-of-runs", files_for(bodies))
         dropped(bodies)
         kinds = cut.groupBy("anchor", "symbol").agg(F.count("*").alias("n"), F.max("alone").alias("any"), F.min(F.struct("key", "text_hash", "start", "lead", "body")).alias("one"))
-        kinds = staged(kinds.withColumn("alone", F.col("any") & (F.col("n") == 1)), "kinds")
+        kinds = staged(kinds.withColumn("alone", F.col("any") & (F.col("n") == 1)), "kinds", files_for(cut))
         equal = kinds.where((F.col("n") > 1) & F.col("any")).select("anchor", "symbol")
         parts.append(cut.where("alone").join(equal.hint("shuffle_hash"), ["anchor", "symbol"]).select("key", "text_hash", F.array("start").alias("starts"), (F.length("body") - (length - 1)).alias("windows")))
         met = kinds.join(mixed_anchors(kinds, crowd), "anchor")
-        bodies = staged(met.select("anchor", "one.key", "one.text_hash", "one.start", "one.lead", "alone", "crowded", "one.body"), "bodies")
+        bodies = staged(met.select("anchor", "one.key", "one.text_hash", "one.start", "one.lead", "alone", "crowded", "one.body"), "bodies", files_for(kinds))
         done += [cut, kinds]
-    spans = staged(reduce(DataFrame.union, parts).groupBy("key", "text_hash").agg(F.collect_list(F.struct("starts", "windows")).alias("spans")), "spans")
+    spans = staged(reduce(DataFrame.union, parts).groupBy("key", "text_hash").agg(F.collect_list(F.struct("starts", "windows")).alias("spans")), "spans", files_for(*done))
     for table in done:
         dropped(table)
-    return spans
+    return spans, files
 
 
 def removed_mask(size: int, spans: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -413,8 +419,9 @@ def op3_suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
             ids = rows.column("row").field("doc_id").cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offs)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_spans(docs.select("doc_id", "text"), repeated_spans(docs, length))
-    return rows.withColumn("row", F.struct("row.doc_id")).mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans, files = spans_and_files(docs, length)
+    rows = with_spans(docs.select("doc_id", "text"), spans)
+    return rows.withColumn("row", F.struct("row.doc_id")).mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").coalesce(files)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -437,4 +444,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, own.type.field(c).type) if c == "text" else own.field(c) for c in fields]
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return with_spans(docs, repeated_spans(docs, length)).mapInArrow(cut, docs.schema)
+    spans, files = spans_and_files(docs, length)
+    return with_spans(docs, spans).mapInArrow(cut, docs.schema).coalesce(files)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinspan.llm import chat, embedding_dedup, fingerprints, jaccard_join, mixing, quality, suffix_arrays, suffix_dedup, textcore, toxicity
+from kinspan.llm import chat, embedding_dedup, fingerprints, jaccard_join, mixing, quality, staging, suffix_arrays, suffix_dedup, textcore, toxicity
 from kinspan.llm.components import connected_components
 from tests.llm import brute
 
@@ -137,6 +137,33 @@ def test_suffix_dedup_of_near_copies(spark, crowd):
         assert kept.columns == df.columns and {(r["_key"], r["text_hash"]) for r in kept.collect()} == {("k", 7)}
 
 
+def test_small_partitions_share_files(spark, monkeypatch, tmp_path):
+    """Small tables go to few files however many shuffle partitions there are, and with the same results; a file for each core is left."""
+    held, folders = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, []
+    before = {k: spark.conf.get(k) for k in held}
+    written = staging.written
+    monkeypatch.setattr(staging, "written", lambda df, path: (written(df, path), folders.append(spark.read.parquet(path).inputFiles())))
+    data = near_copies()
+    df = spark.createDataFrame(data, "doc_id long, text string, _key string, text_hash int").repartition(6)
+    most = 2 * spark.sparkContext.defaultParallelism
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        suffix_dedup.repeated_spans(df, 200, 50, 1)
+        assert len(folders) > 10 and max(map(len, folders)) <= most < 64
+        for made in (suffix_dedup.op3_suffix_dedup(spark, df), suffix_dedup.without_repeats(df)):
+            made.write.parquet(out := str(tmp_path / str(len(made.columns))))
+            assert len(spark.read.parquet(out).inputFiles()) <= most
+            assert spark.read.parquet(out).count() == len(data)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in spark.read.parquet(str(tmp_path / "5")).collect()}
+        assert got == {r[0]: w[:2] for r, w in zip(data, brute.repeats([r[1] for r in data], 200))}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr(staging, "LEAST_BYTES", 100)
+    assert staging.files_for(spark.read.parquet(out)) > most
+
+
 def test_repeats_need_the_suffix_order(spark, monkeypatch):
     """With suffixes out of order, windows that only parts of runs share are missed."""
     groups = [("x" * 40 + "anchor" + "y" * 60).encode(), ("z" * 20 + "x" * 20 + "anchor" + "y" * 60).encode(), ("w" * 40 + "anchor" + "y" * 60).encode()]
